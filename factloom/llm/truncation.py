@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What may be set after the end of a text without belonging to it.
-END_MARKS = (r"■", r"\* ?\* ?\*", r"\(ends\)", r"\[ends?\]", r"#{2,}", r"-30-")
+END_MARKS = (r"■", r"\*\s*\*\s*\*", r"\(ends\)", r"\[ends?\]", r"#{2,}", r"-30-")
 PAGE_FOOTERS = (r"[—–-] ?\d+ ?[—–-]", r"\[col\. ?\d+\]", r"\[?[Pp](?:age|\.) ?\d+\]?")
 DOTS = r"(?:\[ ?(?:…|\.{3,}) ?\]|\( ?(?:…|\.{3,}) ?\)|…|\.{3,}|(?:\. ){2,}\.)"
 # Titles and abbreviations whose full stop does not close a sentence.
@@ -31,23 +31,23 @@ def _word_class(w: Column) -> Column:
     return F.when(w.rlike(r"\d"), F.lit("#")).when(w.rlike(r"^\p{Lu}"), F.lit("A")).otherwise(w)
 
 
-def _tokens(text: Column) -> tuple[Column, Column]:
-    return F.regexp_extract_all(text, F.lit(_WORDS), F.lit(1)), F.regexp_extract_all(text, F.lit(_WORDS), F.lit(2))
-
-
-def _closing(gap: Column) -> Column:
-    return gap.rlike(r"[.!?…—]")
-
-
 def word_runs(documents: DataFrame) -> DataFrame:
-    """``a, b, c, word, ends``: every three consecutive words of every text that something follows."""
-    words, gaps = _tokens(F.col("text"))
-    rows = documents.filter(F.length("text") > 0).select(words.alias("w"), gaps.alias("g"))
-    rows = rows.withColumn("k", F.transform("w", _word_class)).filter(F.size("w") > 3)
-    each = F.explode(F.sequence(F.lit(1), F.size("w") - 3)).alias("i")
-    rows = rows.select("w", "g", "k", each)
+    """``a, b, c, word, ends``: every three consecutive words of a sentence that something follows.
+
+    The text is rewritten as words and full stops parted by single blanks, and once more with
+    the classes of the words, so that both split into arrays of the same positions.
+    """
+    text = F.regexp_replace("text", r"-\r?\n", "")
+    text = F.regexp_replace(text, r"[^\p{L}\p{N}]*[.!?…—][^\p{L}\p{N}]*", " . ")
+    text = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}.]*[^\p{L}\p{N}.'’-][^\p{L}\p{N}.]*", " "))
+    # a text's own last words are what is judged: they don't count
+    rows = documents.filter(F.length("text") > 0).select(F.regexp_replace(text, r"(?:(?:^| )\.)+$", "").alias("t"))
+    classes = F.regexp_replace(F.regexp_replace("t", r"(?<!\S)\p{Lu}\S*", "A"), r"\S*\d\S*", "#")
+    rows = rows.select(F.split("t", " ").alias("w"), F.split(classes, " ").alias("k")).filter(F.size("w") > 3)
+    rows = rows.select("w", "k", F.explode(F.sequence(F.lit(1), F.size("w") - 3)).alias("i"))
     at = lambda c, d: F.get(F.col(c), F.col("i") + d)
-    return rows.select(at("k", -1).alias("a"), at("k", 0).alias("b"), at("k", 1).alias("c"), at("w", 1).alias("word"), _closing(at("g", 1)).alias("ends"))
+    runs = rows.select(at("k", -1).alias("a"), at("k", 0).alias("b"), at("k", 1).alias("c"), at("w", 1).alias("word"), (at("k", 2) == ".").alias("ends"))
+    return runs.filter((F.col("a") != ".") & (F.col("b") != ".") & (F.col("c") != "."))
 
 
 def endings(documents: DataFrame) -> DataFrame:
@@ -60,9 +60,9 @@ def endings(documents: DataFrame) -> DataFrame:
     tail = F.regexp_replace(F.substring(F.col("bare"), -200, 200), r"^[\p{L}\p{N}'’-]*[^\p{L}\p{N}]*(?=.{60})", "")
     words = F.regexp_extract_all(tail, F.lit(_WORDS), F.lit(1))
     last = lambda i: F.try_element_at(words, F.lit(-i))
-    line = F.regexp_extract("bare", r"([^\n]*)$", 1)
-    before = F.regexp_extract("bare", r"([^\n]*)\n[^\n]*$", 1)
-    closed = F.col("bare").rlike(rf"[.!?]{_CLOSERS}$") & ~F.col("bare").rlike(r"\b(?:" + "|".join(ABBREVIATIONS) + r")\.$")
+    line = F.substring_index("bare", "\n", -1)
+    before = F.substring_index(F.substring_index("bare", "\n", -2), "\n", 1)
+    closed = F.col("bare").rlike(rf"[.!?]{_CLOSERS}$") & ~F.col("bare").rlike(rf"\b(?:{'|'.join(ABBREVIATIONS)})\.$|\p{{L}}\s+M\.$")
     return d.select(
         "doc_id",
         "source",
