@@ -54,9 +54,16 @@ def context_free(text: Column) -> Column:
     return F.coalesce(count | (text.rlike(ZONED) & ~text.rlike(MERIDIEM) & text.rlike(r":|\dT?\d{6}")), F.lit(False))
 
 
-def _count_ms(text: Column, window: tuple[int, int]) -> Column:
-    whole = F.regexp_extract(text, r"^\d+", 0).try_cast("bigint")
-    nanos = F.rpad(F.substring(F.regexp_extract(text, r"[.,](\d+)$", 1), 1, 9), 9, "0").cast("bigint")
+def _apart(c: Column) -> Column:
+    """``c``, in a form that keeps its projection out of whole-stage code generation.
+
+    Fused into one method, these projections pass the size up to which the JVM compiles a
+    method and run three times slower; by itself, a projection is generated in small methods.
+    """
+    return F.get(F.transform(F.array(c), lambda x: x), F.lit(0))
+
+
+def _count_ms(whole: Column, nanos: Column, window: tuple[int, int]) -> Column:
     out = None
     for per, parts in UNITS:
         low, high = window[0] * parts // per, -(-window[1] * parts // per)
@@ -94,22 +101,31 @@ def with_instant(
     p = "__" + out
     trimmed, pieces = f"{p}_t", f"{p}_p"
     df = df.withColumn(trimmed, blank_trim(F.col(text)))
-    df = df.withColumn(pieces, F.when(F.col(trimmed).rlike(r"\d"), F.split(F.regexp_replace(F.col(trimmed), PATTERN, _PIECES), r"\|")))
+    point = F.instr(F.translate(F.col(trimmed), ",", "."), ".")
+    number = F.struct(
+        F.when(point > 0, F.col(trimmed).substr(F.lit(1), point - 1)).otherwise(F.col(trimmed)).cast("decimal(20,0)").try_cast("bigint").alias("whole"),
+        F.when(point > 0, F.rpad(F.col(trimmed).substr(point + 1, F.lit(9)), 9, "0").cast("bigint")).otherwise(0).alias("nanos"),
+    )
+    df = df.withColumn(f"{p}_c", F.when(F.col(trimmed).rlike(COUNT), number))
+    df = df.withColumn(pieces, F.when(F.col(trimmed).rlike(r"\d"), F.split(_apart(F.regexp_replace(F.col(trimmed), PATTERN, _PIECES)), r"\|")))
     at = lambda i: F.try_element_at(F.col(pieces), F.lit(i + 1))
-    num = lambda c: c.try_cast("int")
+    # only digits are cast: a failing try_cast is an exception raised and caught
+    num = lambda c: F.when(F.length(c).between(1, 9), c).cast("int")
     # One struct per step, so that no later step repeats an earlier one's expressions.
     df = df.withColumn(
         f"{p}_n",
         F.when(
             F.size(F.col(pieces)) == 12,
             F.struct(
-                *[num(at(i)).alias(x) for i, x in enumerate(("year", "month", "day", "first", "second"))],
+                *[num(at(i)).alias(x) for i, x in ((0, "year"), (2, "day"), (3, "first"), (4, "second"))],
+                num(F.when(F.length(at(1)) <= 2, at(1))).alias("month"),
                 F.lower(F.substring(at(1), 1, 3)).alias("name"),
                 *[num(F.concat(F.lit("0"), at(i))).alias(x) for i, x in ((5, "h"), (6, "mi"), (7, "s"))],
                 num(F.rpad(F.substring(at(8), 1, 3), 3, "0")).alias("milli"),
-                F.lower(at(9)).alias("half"),
+                _apart(F.lower(at(9))).alias("half"),
                 at(10).alias("zone"),
-                F.regexp_replace(F.upper(at(10)), r"^(?:UTC|GMT) ?(?=[+-])", "").alias("bare"),
+                F.when(at(10).rlike("[+-]"), F.regexp_replace(F.upper(at(10)), r"^(?:UTC|GMT) ?(?=[+-])", "")).otherwise(F.upper(at(10))).alias("bare"),
+                F.when(at(10).rlike(r"[+-]\d"), num(F.regexp_replace(at(10), "[^0-9]", ""))).alias("hhmm"),
             ),
         ),
     )
@@ -122,24 +138,28 @@ def with_instant(
     day = F.when(numeric_first, F.when(day_first, n("first")).otherwise(n("second"))).otherwise(n("day"))
     hour = F.when(n("half") == "", n("h")).when(n("h").between(1, 12), n("h") % 12 + F.when(n("half") == "p", 12).otherwise(0))
     wall = F.when((hour <= 23) & (n("s") <= 59), F.try_make_timestamp(n("year"), month, day, hour, n("mi"), n("s").cast("decimal(16,6)"), F.lit("UTC")))
-    digits = F.regexp_replace(n("bare"), "[^0-9]", "")
-    hhmm = num(F.when(F.length(digits) <= 2, F.concat(digits, F.lit("00"))).otherwise(digits))
+    hhmm = F.when(n("hhmm") < 100, n("hhmm") * 100).otherwise(n("hhmm"))
     shift = F.when((hhmm <= 1800) & (hhmm % 100 <= 59), (F.floor(hhmm / 100) * 60 + hhmm % 100) * F.when(n("bare").startswith("-"), -1).otherwise(1))
     table = {"Z": 0} | {k.upper(): int(v) for k, v in (zone_offsets or {}).items()}
     listed = F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv]), n("bare"))
+    signed = F.substring(n("bare"), 1, 1).isin("+", "-")
+    # (not a bare struct: Spark would take that apart and repeat its parts wherever they are used)
     df = df.withColumn(
         f"{p}_w",
-        F.struct(
-            wall.alias("wall"),
-            F.when(n("bare").rlike("^[+-]"), shift.cast("int")).otherwise(listed).alias("minutes"),
-            F.when(n("zone") == "", F.col(tz)).when(~n("bare").rlike("^[+-]"), n("zone")).alias("region"),
+        F.when(
+            n("zone").isNotNull(),
+            F.struct(
+                wall.alias("wall"),
+                F.when(signed, shift.cast("int")).when(n("bare") != "", listed).alias("minutes"),
+                _apart(F.when(n("zone") == "", F.col(tz)).when(~signed, n("zone"))).alias("region"),
+            ),
         ),
     )
     w = lambda x: F.col(f"{p}_w.{x}")
     region = F.when(w("region").isin(known_zones(df.sparkSession)), w("region"))
     clock = F.coalesce(F.unix_millis(w("wall")) - w("minutes") * F.lit(60_000), F.unix_millis(F.to_utc_timestamp(w("wall"), region)))
-    count = F.when(F.col(trimmed).rlike(COUNT), _count_ms(F.col(trimmed), window or YEAR_2024))
-    df = df.withColumn(out, F.coalesce(count, clock + n("milli")))
+    count = F.when(F.col(f"{p}_c").isNotNull(), _count_ms(F.col(f"{p}_c.whole"), F.col(f"{p}_c.nanos"), window or YEAR_2024))
+    df = df.withColumn(out, F.coalesce(count, _apart(clock + n("milli"))))
     if window:
         df = df.withColumn(out, F.when(F.col(out).between(window[0], window[1] - 1), F.col(out)))
-    return df.drop(trimmed, pieces, f"{p}_n", f"{p}_w")
+    return df.drop(trimmed, pieces, f"{p}_c", f"{p}_n", f"{p}_w")
