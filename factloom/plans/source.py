@@ -25,7 +25,10 @@ def _true(c: Column) -> Column:
 
 
 def _packed(df: DataFrame, schema: Schema, name: str) -> DataFrame:
-    return df.select(F.struct(*[F.col(f"`{n}`") for n in schema.names]).alias(name))
+    """The declared fields, in the declared types, as one struct column."""
+    there = {f.name: f.dataType for f in df.schema}
+    fields = [F.col(f"`{f.name}`") if there.get(f.name) == f.dataType else F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.struct]
+    return df.select(F.struct(*fields).alias(name))
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import Column, SparkSession
@@ -48,10 +49,15 @@ class Schema:
 
     def __init__(self, name: str, fields: str | T.StructType, optional: Iterable[str] = (), record: type[Record] = Record):
         self.name, self.record_type = name, record
-        self.struct = fields if isinstance(fields, T.StructType) else T.StructType.fromDDL(fields)
-        self.optional = frozenset(optional)
-        if missing := self.optional - set(self.names):
-            raise ValueError(f"{name} has no field {sorted(missing)}")
+        self._fields, self.optional = fields, frozenset(optional)
+
+    @cached_property
+    def struct(self) -> T.StructType:
+        """The fields; DDL text is parsed at first use, as that needs a running session."""
+        parsed = self._fields if isinstance(self._fields, T.StructType) else T.StructType.fromDDL(self._fields)
+        if missing := self.optional - set(parsed.names):
+            raise ValueError(f"{self.name} has no field {sorted(missing)}")
+        return parsed
 
     @property
     def names(self) -> list[str]:
