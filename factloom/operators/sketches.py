@@ -67,7 +67,8 @@ def estimates(parts: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
     per = parts.select(*groups, "field", F.inline(levels)).groupBy(*groups, "field").agg(F.collect_list(F.struct("level", "set")).alias("levels"))
     full = F.array_max(F.transform(F.filter("levels", lambda x: x["set"] > MOST_SET * LEVEL_BITS), lambda x: x["level"]))
-    base = F.coalesce(full + 1, F.lit(0))
+    top = F.array_max(F.transform(F.filter("levels", lambda x: x["set"] > 0), lambda x: x["level"]))
+    base = F.least(F.coalesce(full + 1, F.lit(0)), F.coalesce(top, F.lit(0)))
     count = lambda x: -F.lit(float(LEVEL_BITS)) * F.log(F.lit(1.0) - x / F.lit(LEVEL_BITS + 0.5))
     total = F.aggregate("levels", F.lit(0.0), lambda a, x: a + F.when(x["level"] >= F.col("base"), count(x["set"])).otherwise(0.0))
     out = per.withColumn("base", base).withColumn("estimate", F.pow(F.lit(2.0), F.col("base")) * total)
