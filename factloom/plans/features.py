@@ -86,7 +86,7 @@ class Feature:
 
     def apply(self, df: DataFrame) -> DataFrame:
         """``entity, name, value`` for the rows where the feature is present."""
-        return df.filter(_true(self.presence)).select(self.entity.alias("entity"), F.lit(self.name).alias("name"), ty.lift(self.value, self.value_type).alias("value"))
+        return df.filter(self.presence).select(self.entity.alias("entity"), F.lit(self.name).alias("name"), ty.lift(self.value, self.value_type).alias("value"))
 
 
 @dataclass(frozen=True)

@@ -20,10 +20,6 @@ from factloom.stats import Stats
 Predicate = Callable[..., Column]
 
 
-def _true(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
-
 def _packed(df: DataFrame, schema: Schema, name: str) -> DataFrame:
     """The declared fields, in the declared types, as one struct column."""
     there = {f.name: f.dataType for f in df.schema}
@@ -115,7 +111,7 @@ class Source:
             if stats:
                 out = stats.count(out, f"join.level{i + 1}")
         for width, predicate in self.filters:
-            out = out.filter(_true(predicate(*records[:width])))
+            out = out.filter(predicate(*records[:width]))
         if stats and self.filters:
             out = stats.count(out, "filter")
         return out
@@ -210,7 +206,7 @@ class ContextSource:
             value = ctx if isinstance(ctx, Column) else F.lit(ctx)
         df = df.withColumn("ctx", value)
         for p in self.filters:
-            df = df.filter(_true(p(*self.view())))
+            df = df.filter(p(*self.view()))
         return df
 
 

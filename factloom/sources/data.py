@@ -25,7 +25,7 @@ class DataSource:
 
     def where(self, condition: Callable[[DataFrame], Column]) -> DataSource:
         """Rows before any join."""
-        return _Derived(self, lambda df: df.filter(F.coalesce(condition(df), F.lit(False))), "where")
+        return _Derived(self, lambda df: df.filter(condition(df)), "where")
 
     def distinct(self) -> DataSource:
         return _Derived(self, lambda df: df.distinct(), "distinct")
