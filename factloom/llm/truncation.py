@@ -22,37 +22,50 @@ _TAIL = r"(?:\s|" + "|".join((*END_MARKS, *PAGE_FOOTERS)) + r")+$"
 _WORDS = r"([\p{L}\p{N}](?:[\p{L}\p{N}'’]|-(?=\p{L}))*)([^\p{L}\p{N}]*)"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _LIST_LINE = rf"(?:{_NAME}(?: {_NAME}){{1,2}}|{_NAME}, (?:\p{{Lu}}\. ?)+|\p{{Lu}}[\p{{Lu}} ]+|(?:Ayes|Noes|Nays|Ja|Nein|Pour|Contre)[ :0-9]*)"
+_MARK_CHARS = 60
+_END_CHARS = 1_000
 # A line of at most this many characters may be a heading.
 HEADING_CHARS = 110
 
 
 def _word_class(w: Column) -> Column:
     """Numbers and capitalised words (names above all) count as one word each."""
-    return F.when(w.rlike(r"\d"), F.lit("#")).when(w.rlike(r"^\p{Lu}"), F.lit("A")).otherwise(w)
+    return F.when(w.rlike(r"^\d"), F.lit("#")).when(w.rlike(r"^\p{Lu}"), F.lit("A")).otherwise(w)
 
 
 def word_runs(documents: DataFrame) -> DataFrame:
-    """``a, b, c, word, ends``: every three consecutive words of a sentence that something follows.
+    """``a, b, c, word, n, n_ends``: every three consecutive words of a sentence that something
+    follows, by their classes and the last word itself; how often, and how often at an end.
 
     The text is rewritten as words and full stops parted by single blanks, and once more with
     the classes of the words, so that both split into arrays of the same positions.
     """
-    text = F.regexp_replace("text", r"-\r?\n", "")
-    text = F.regexp_replace(text, r"[^\p{L}\p{N}]*[.!?…—][^\p{L}\p{N}]*", " . ")
-    text = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}.]*[^\p{L}\p{N}.'’-][^\p{L}\p{N}.]*", " "))
+    text = F.replace(F.replace(F.col("text"), F.lit("-\r\n"), F.lit("")), F.lit("-\n"), F.lit(""))
+    text = F.regexp_replace(text, r"[.!?…—]++", " . ")
+    text = F.regexp_replace(F.concat(F.lit(" "), text), r"[^\p{L}\p{N}.'’-]++", " ")
     # a text's own last words are what is judged: they don't count
-    rows = documents.filter(F.length("text") > 0).select(F.regexp_replace(text, r"(?:(?:^| )\.)+$", "").alias("t"))
-    classes = F.regexp_replace(F.regexp_replace("t", r"(?<!\S)\p{Lu}\S*", "A"), r"\S*\d\S*", "#")
-    rows = rows.select(F.split("t", " ").alias("w"), F.split(classes, " ").alias("k")).filter(F.size("w") > 3)
-    rows = rows.select("w", "k", F.explode(F.sequence(F.lit(1), F.size("w") - 3)).alias("i"))
-    at = lambda c, d: F.get(F.col(c), F.col("i") + d)
-    runs = rows.select(at("k", -1).alias("a"), at("k", 0).alias("b"), at("k", 1).alias("c"), at("w", 1).alias("word"), (at("k", 2) == ".").alias("ends"))
-    return runs.filter((F.col("a") != ".") & (F.col("b") != ".") & (F.col("c") != "."))
+    rows = documents.filter(F.length("text") > 0).select(F.rtrim(text, F.lit(" .")).alias("t"))
+    classes = F.regexp_replace(F.regexp_replace("t", r" \p{Lu}[^ ]*+", " A"), r" \d[^ ]*+", " #")
+    rows = rows.select(F.split("t", " ").alias("w"), F.split(classes, " ").alias("k"))
+    # shifted copies side by side (the first element is empty): each word is copied a few times,
+    # where exploding positions beside the arrays would copy the whole text for every word
+    shifted = [F.slice(c, i, F.greatest(F.size(c) - i + 1, F.lit(0))).alias(name) for c, i, name in (("k", 2, "a"), ("k", 3, "b"), ("k", 4, "c"), ("w", 4, "word"), ("k", 5, "following"))]
+    runs = rows.select(*shifted).select(F.inline(F.arrays_zip("a", "b", "c", "word", "following")))
+    runs = runs.filter(F.col("following").isNotNull() & (F.col("a") != ".") & (F.col("b") != ".") & (F.col("c") != "."))
+    runs = runs.withColumn("ends", F.col("following") == ".")
+    return runs.groupBy("a", "b", "c", "word").agg(F.count(F.lit(1)).alias("n"), F.count_if("ends").alias("n_ends"))
 
 
 def endings(documents: DataFrame) -> DataFrame:
     """``doc_id, source`` and what each non-empty text ends with."""
-    core = F.regexp_replace("text", _TAIL, "")
+    text = F.rtrim(F.col("text"), F.lit(" \t\r\n"))
+    # marks are sought in the last characters; further ahead only where those are hardly more
+    last = F.substring(text, -_MARK_CHARS, _MARK_CHARS)
+    kept = F.regexp_replace(last, _TAIL, "")
+    core = F.concat(F.substring(text, F.lit(1), F.greatest(F.length(text) - _MARK_CHARS, F.lit(0))), kept)
+    core = F.when((F.length(kept) < _MARK_CHARS // 2) & (F.length(text) > _MARK_CHARS), F.regexp_replace(text, _TAIL, "")).otherwise(core)
+    # what is judged looks back no further than this
+    core = F.substring(F.rtrim(core, F.lit(" \t\r\n")), -_END_CHARS, _END_CHARS)
     d = documents.filter(F.length("text") > 0).select("doc_id", "source", core.alias("core")).filter(F.length("core") > 0)
     d = d.withColumn("dotted", F.col("core").rlike(DOTS + "$"))
     d = d.withColumn("bare", F.when(F.col("dotted"), F.regexp_replace("core", rf"\s*{DOTS}$", "")).otherwise(F.col("core")))
@@ -96,8 +109,9 @@ def judged(documents: DataFrame, rare: float = 0.05) -> DataFrame:
     """
     ends = endings(documents)
     runs = word_runs(documents)
-    trigrams = runs.groupBy("a", "b", "c").agg(F.count_if(~F.col("ends")).alias("inside"), F.count_if("ends").alias("at_end"))
-    known = runs.groupBy("word").agg(F.count(F.lit(1)).alias("seen"), F.count_if("ends").alias("word_at_end"))
+    # both come from the same shuffled counts, which Spark computes once
+    trigrams = runs.groupBy("a", "b", "c").agg(F.sum(F.col("n") - F.col("n_ends")).alias("inside"), F.sum("n_ends").alias("at_end"))
+    known = runs.groupBy("word").agg(F.sum("n").alias("seen"), F.sum("n_ends").alias("word_at_end"))
     rows = ends.join(trigrams, ["a", "b", "c"], "left").join(known, "word", "left")
     seen = F.coalesce(F.col("inside") + F.col("at_end"), F.lit(0))
     share = F.when(seen > 0, F.col("at_end") / seen).otherwise(F.coalesce(F.col("word_at_end") / F.col("seen"), F.lit(0.0)))
