@@ -33,6 +33,9 @@ COUNT = r"^\d{5,19}(?:[.,]\d+)?$"
 ZONED = r"(?i)(?:\d *z|[+-]\d{1,2}(?::?\d{2})?|[a-z]{2,}\)?|/[a-z0-9_+-]+)$"
 MERIDIEM = r"(?i)\d ?[ap]\.?m\.?$"
 
+# No form of a time is longer; longer texts are not matched (the JVM's matcher recurses).
+MOST_CHARS = 100
+
 # Milliseconds of one unit, as numerator and denominator; the order is of no importance: at
 # most one unit puts a count into a window of a year.
 UNITS = ((86_400_000, 1), (3_600_000, 1), (60_000, 1), (1_000, 1), (1, 1), (1, 1_000), (1, 1_000_000))
@@ -107,7 +110,7 @@ def with_instant(
         F.when(point > 0, F.rpad(F.col(trimmed).substr(point + 1, F.lit(9)), 9, "0").cast("bigint")).otherwise(0).alias("nanos"),
     )
     df = df.withColumn(f"{p}_c", F.when(F.col(trimmed).rlike(COUNT), number))
-    df = df.withColumn(pieces, F.when(F.col(trimmed).rlike(r"\d"), F.split(_apart(F.regexp_replace(F.col(trimmed), PATTERN, _PIECES)), r"\|")))
+    df = df.withColumn(pieces, F.when((F.length(trimmed) <= MOST_CHARS) & F.col(trimmed).rlike(r"\d"), F.split(_apart(F.regexp_replace(F.col(trimmed), PATTERN, _PIECES)), r"\|")))
     at = lambda i: F.try_element_at(F.col(pieces), F.lit(i + 1))
     # only digits are cast: a failing try_cast is an exception raised and caught
     num = lambda c: F.when(F.length(c).between(1, 9), c).cast("int")

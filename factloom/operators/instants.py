@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.instants import YEAR_2024, blank_trim, context_free, with_instant
+from factloom.functions.instants import MOST_CHARS, YEAR_2024, blank_trim, context_free, with_instant
 from factloom.shared import bounded_rows, exists, fresh_path
 
 SCHEMA = "raw string, tz string, date_order string, utc_ms bigint"
@@ -52,7 +52,7 @@ class InstantDictionary:
         none = F.lit("")
         return rows.select(
             *[c for c in rows.columns if c != "raw"],
-            F.when(F.col("raw").rlike(r"\d{4,}"), F.col("raw")).alias("raw"),
+            F.when((F.length("raw") <= MOST_CHARS) & F.col("raw").rlike(r"\d{4,}"), F.col("raw")).alias("raw"),
             F.when(free, none).otherwise(F.coalesce(tz, none)).alias("key_tz"),
             F.when(free, none).otherwise(F.coalesce(date_order, none)).alias("key_order"),
         )

@@ -38,7 +38,7 @@ CASES = [
     ("2024-01-02 03:04:05", None, None),
     ("2024-01-02 03:04:05 Mars/Base", "utc", None),
     ("2023-01-02 03:04:05", "utc", None),
-    ("pending", "utc", None), ("\\N", "utc", None), ("", "utc", None), (None, "utc", None), ("x" * 100_000, "utc", None), ("1" * 5_000, "utc", None),
+    ("pending", "utc", None), ("\\N", "utc", None), ("", "utc", None), (None, "utc", None), ("x" * 100_000, "utc", None), ("1" * 5_000, "utc", None), ("2024-01-02 03:04 a" + "/a" * 100_000, "utc", None),
 ]
 
 
