@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What may be set after the end of a text without belonging to it.
-END_MARKS = (r"■", r"\*\s*\*\s*\*", r"\(ends\)", r"\[ends?\]", r"#{2,}", r"-30-")
+END_SIGNS = " \t\r\n■*"
+END_MARKS = (r"\(ends\)", r"\[ends?\]", r"#{2,}", r"-30-")
 PAGE_FOOTERS = (r"[—–-] ?\d+ ?[—–-]", r"\[col\. ?\d+\]", r"\[?[Pp](?:age|\.) ?\d+\]?")
 DOTS = r"(?:\[ ?(?:…|\.{3,}) ?\]|\( ?(?:…|\.{3,}) ?\)|…|\.{3,}|(?:\. ){2,}\.)"
 # Titles and abbreviations whose full stop does not close a sentence.
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Mx", "Dr", "Prof", "St", "No", "Nos", "hon", "Hon", "Mme", "Mlle", "Hr", "Nr", "Art", "Abs", "vgl", "bzw", "vs", "cf")
 _CLOSERS = r"[\"'”’»“\])]*"
-_TAIL = r"(?:\s|" + "|".join((*END_MARKS, *PAGE_FOOTERS)) + r")+$"
+# (bounded: the JVM's matcher recurses once per repetition)
+_TAIL = r"(?:[\s■*]++|" + "|".join((*END_MARKS, *PAGE_FOOTERS)) + r"){1,200}$"
 _WORDS = r"([\p{L}\p{N}](?:[\p{L}\p{N}'’]|-(?=\p{L}))*)([^\p{L}\p{N}]*)"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _LIST_LINE = rf"(?:{_NAME}(?: {_NAME}){{1,2}}|{_NAME}, (?:\p{{Lu}}\. ?)+|\p{{Lu}}[\p{{Lu}} ]+|(?:Ayes|Noes|Nays|Ja|Nein|Pour|Contre)[ :0-9]*)"
@@ -58,12 +60,15 @@ def word_runs(documents: DataFrame) -> DataFrame:
 
 def endings(documents: DataFrame) -> DataFrame:
     """``doc_id, source`` and what each non-empty text ends with."""
-    text = F.rtrim(F.col("text"), F.lit(" \t\r\n"))
+    text = F.rtrim(F.col("text"), F.lit(END_SIGNS))
     # marks are sought in the last characters; further ahead only where those are hardly more
     last = F.substring(text, -_MARK_CHARS, _MARK_CHARS)
     kept = F.regexp_replace(last, _TAIL, "")
     core = F.concat(F.substring(text, F.lit(1), F.greatest(F.length(text) - _MARK_CHARS, F.lit(0))), kept)
-    core = F.when((F.length(kept) < _MARK_CHARS // 2) & (F.length(text) > _MARK_CHARS), F.regexp_replace(text, _TAIL, "")).otherwise(core)
+    more = text
+    for _ in range(3):
+        more = F.regexp_replace(more, _TAIL, "")
+    core = F.when((F.length(kept) < _MARK_CHARS // 2) & (F.length(text) > _MARK_CHARS), more).otherwise(core)
     # what is judged looks back no further than this
     core = F.substring(F.rtrim(core, F.lit(" \t\r\n")), -_END_CHARS, _END_CHARS)
     d = documents.filter(F.length("text") > 0).select("doc_id", "source", core.alias("core")).filter(F.length("core") > 0)
@@ -105,7 +110,7 @@ def judged(documents: DataFrame, rare: float = 0.05) -> DataFrame:
     terminal". The counts are over all texts.
 
     Defined results: null and empty texts, and texts of end marks or page footers alone, have no
-    row; a text of fewer than three words is judged by its last word and its marks.
+    row; behind 600 marks and footers a text counts as complete; a text of fewer than three words is judged by its last word and its marks.
     """
     ends = endings(documents)
     runs = word_runs(documents)

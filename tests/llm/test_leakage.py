@@ -1,0 +1,53 @@
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from factloom.llm import leakage
+
+
+def brute(docs, items, run):
+    out = set()
+    for d, text in docs:
+        w = leakage.words(text or "")
+        have = {tuple(w[i : i + run]) for i in range(len(w) - run + 1)}
+        for i, t in items:
+            p = leakage.words(t or "")
+            if any(tuple(p[k : k + run]) in have for k in range(len(p) - run + 1)):
+                out.add((d, i))
+    return out
+
+
+def test_words():
+    assert leakage.words("Un-\nder the Bridge—Toll, l'Été_2 x-\r\ny a - \n b") == ["under", "the", "bridge", "toll", "l", "été", "2", "xy", "a", "b"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=60), st.integers(2, 5))
+def test_search_equals_brute_force(items, doc, run):
+    items = [(i, " ".join(t)) for i, t in enumerate(items)]
+    assert {(0, i) for i in leakage.Patterns(items, run).items_in(" ".join(doc))} == brute([(0, " ".join(doc))], items, run)
+
+
+def test_operator_with_nulls_empty_texts_and_blocks_of_items(spark):
+    rnd = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    items = [(i, text(25)) for i in range(40)] + [(90, None), (91, ""), (92, "too short an item"), (93, text(15))]
+    docs = [(i, text(30) + " " + " ".join(items[rnd.randrange(40)][1].split()[5:22]).upper() + "!\n" + text(10)) for i in range(60)] + [(100, None), (101, ""), (102, items[3][1]), (102, items[3][1]), (103, text(200_000) + " " + items[93 - 50][1])]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").withColumnRenamed("text", "text")
+    want = brute(docs, items, 15)
+    for chars in (20_000_000, 500):
+        rows = leakage.leaks(df, it, block_chars=chars).collect()
+        assert {tuple(r) for r in rows} == want
+        assert len(rows) == len(want) + 1  # the repeated document
+    assert len(want) >= 60 and (103, 93) in want
+    assert leakage.leaks(df.limit(0), it).collect() == [] and leakage.leaks(df, it.limit(0)).collect() == []
+
+
+def test_supplied_tables(spark, sf):
+    d, i = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "eval_items"))
+    got = {tuple(r) for r in leakage.leaks(d, i).collect()}
+    assert got == brute([tuple(r) for r in d.select("doc_id", "text").collect()], [tuple(r) for r in i.select("item_id", "text").collect()], 15)
+    report = leakage.leaked_items(leakage.leaks(d, i), i).collect()
+    assert sum(r.n_documents for r in report) == len(got)
