@@ -5,12 +5,21 @@ from __future__ import annotations
 
 import logging
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 log = logging.getLogger("factloom.counters")
 
 
+def _rows(seen: Observation) -> int:
+    try:
+        return int(seen.get["rows"])
+    except Py4JJavaError:
+        # a plan that Spark found to be empty has no metrics left in it
+        return 0
+
+
 class Stats:
     def __init__(self) -> None:
         self.counters: list[tuple[str, Observation]] = []
@@ -22,7 +31,7 @@ class Stats:
 
     def values(self) -> list[tuple[str, int]]:
         """Rows by counter, in plan order; to be read after an action."""
-        return [(name, int(o.get["rows"])) for name, o in self.counters]
+        return [(name, _rows(o)) for name, o in self.counters]
 
     def write_log(self) -> list[str]:
         try:
