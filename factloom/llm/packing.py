@@ -1,7 +1,8 @@
 """Filling containers of fixed capacity: conflict-constrained best-fit.
 
 Texts are measured in tokens map-side; only their sizes are shuffled. Hash shards of bounded
-size are packed independently. Items come in order of falling size; open containers are kept
+size are packed independently. Texts with copies come first, then the others, each in order of
+falling size; open containers are kept
 by residual, and the successor search from an item's size upwards takes the tightest container
 that is compatible. Containers carry a bitmap of their sources and one of the clusters of equal
 texts they hold: copies of one text never share a container, nor do sources declared apart.
@@ -107,7 +108,8 @@ def _pack(capacity: int, apart: Sequence[tuple[str, str]]):
         for a, b in apart:
             away[a] |= flag[b]
             away[b] |= flag[a]
-        order = sorted(range(n), key=lambda i: (-cols["size"][i], cols["doc_id"][i], cols["part"][i]))
+        # texts with copies first: late, when few containers are open, they would open new ones
+        order = sorted(range(n), key=lambda i: (cols["cluster"][i] not in bits, -cols["size"][i], cols["doc_id"][i], cols["part"][i]))
         bins, where = BestFit(capacity), [0] * n
         for i in order:
             where[i] = bins.add(cols["size"][i], flag[cols["source"][i]], away[cols["source"][i]], bits.get(cols["cluster"][i], 0))
