@@ -11,16 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What may be set after the end of a text without belonging to it.
-END_SIGNS = " \t\r\n■*"
-END_MARKS = (r"\(ends\)", r"\[ends?\]", r"#{2,}", r"-30-")
-PAGE_FOOTERS = (r"[—–-] ?\d+ ?[—–-]", r"\[col\. ?\d+\]", r"\[?[Pp](?:age|\.) ?\d+\]?")
+# What may be set after the end of a text without belonging to it (a stray word
+# inside a mark is allowed for).
+END_SIGNS = " \t\r\n■"
+END_MARKS = (r"\*(?:\s*(?:\p{Ll}{1,9})?\s*\*){2}", r"\(ends\)", r"\[ends?\]", r"#{2,}", r"-30-")
+PAGE_FOOTERS = (r"[—–-] ?\d+ ?[—–-]", r"\[col\. ?(?:\p{Ll}{1,9} )?\d+\]", r"\[?[Pp](?:age|\.) ?\d+\]?")
 DOTS = r"(?:\[ ?(?:…|\.{3,}) ?\]|\( ?(?:…|\.{3,}) ?\)|…|\.{3,}|(?:\. ){2,}\.)"
 # Titles and abbreviations whose full stop does not close a sentence.
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Mx", "Dr", "Prof", "St", "No", "Nos", "hon", "Hon", "Mme", "Mlle", "Hr", "Nr", "Art", "Abs", "vgl", "bzw", "vs", "cf")
 _CLOSERS = r"[\"'”’»“\])]*"
 # (bounded: the JVM's matcher recurses once per repetition)
-_TAIL = r"(?:[\s■*]++|" + "|".join((*END_MARKS, *PAGE_FOOTERS)) + r"){1,200}$"
+_TAIL = r"(?:[\s■]++|" + "|".join((*END_MARKS, *PAGE_FOOTERS)) + r"){1,200}$"
 _WORDS = r"([\p{L}\p{N}](?:[\p{L}\p{N}'’]|-(?=\p{L}))*)([^\p{L}\p{N}]*)"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _LIST_LINE = rf"(?:{_NAME}(?: {_NAME}){{1,2}}|{_NAME}, (?:\p{{Lu}}\. ?)+|\p{{Lu}}[\p{{Lu}} ]+|(?:Ayes|Noes|Nays|Ja|Nein|Pour|Contre)[ :0-9]*)"
