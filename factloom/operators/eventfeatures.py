@@ -61,17 +61,17 @@ def event_features(
     """
     spark = events.sparkSession
     types = event_types(events, by) if types is None else list(types)
-    fields = ", ".join(f"t{i} {dict(events.dtypes)[c]}" for i, c in enumerate(by))
-    lookup = spark.createDataFrame([(*t, i) for i, t in enumerate(types)], f"{fields}, type int") if types else spark.createDataFrame([], f"{fields}, type int")
+    fields = ", ".join(f"__t{i} {dict(events.dtypes)[c]}" for i, c in enumerate(by))
+    lookup = spark.createDataFrame([(*t, i) for i, t in enumerate(types)], f"{fields}, __type int") if types else spark.createDataFrame([], f"{fields}, __type int")
     rows = dated(events.filter(F.col(entity).isNotNull()).select(*once).distinct())
     rows = rows.withColumn("__day", day_number(F.col("utc_ms")))
     match = None
     for i, c in enumerate(by):
-        same = F.col(c).eqNullSafe(F.col(f"t{i}"))
+        same = F.col(c).eqNullSafe(F.col(f"__t{i}"))
         match = same if match is None else match & same
     rest = [c for c in once if c not in (entity, *by)]
     salt = F.pmod(F.xxhash64(*rest), F.lit(salts)) if rest else F.lit(0)
-    typed = rows.join(lookup, match).select(F.col(entity).alias("entity"), "type", salt.alias("salt"), "__day", F.col(value).cast("bigint").alias("value"))
+    typed = rows.join(lookup, match).select(F.col(entity).alias("entity"), F.col("__type").alias("type"), salt.alias("salt"), "__day", F.col(value).cast("bigint").alias("value"))
     stage1 = typed.groupBy("entity", "type", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("__day").alias("last"), F.coalesce(F.sum("value"), F.lit(0)).alias("total"))
     packed = stage1.groupBy("entity").agg(F.collect_list(F.struct("type", "n", "last", "total")).alias("x"))
     out = packed.mapInArrow(_expand(len(types), as_of_day, lanes), "entity string, n array<bigint>, days_since_last array<int>, total array<bigint>")

@@ -18,14 +18,15 @@ from factloom.shared import bounded_rows, exists, fresh_path
 SCHEMA = "raw string, tz string, date_order string, utc_ms bigint"
 
 
-def reading_context(rows: DataFrame, text: str, origin: str, origins: DataFrame) -> DataFrame:
-    """``rows`` with ``tz`` and ``date_order`` of their origin (null where it is unknown).
+def reading_context(rows: DataFrame, origin: str, origins: DataFrame) -> DataFrame:
+    """``rows`` with ``__tz`` and ``__order`` of their origin (null where it is unknown).
 
-    ``origins`` has one row per origin, so no row is lost or doubled; Spark broadcasts it only
-    while its size is under the session's threshold.
+    An origin listed more than once counts as its first entry in order, so no row is lost or
+    doubled; Spark broadcasts the table only while it is under the session's threshold.
     """
-    known = origins.select(F.col("origin").alias("__origin"), F.col("tz_name").alias("tz"), "date_order").dropDuplicates(["__origin"])
-    return rows.drop("tz", "date_order").join(known, F.col(origin) == F.col("__origin"), "left").drop("__origin")
+    known = origins.groupBy(F.col("origin").alias("__origin")).agg(F.min(F.struct("tz_name", "date_order")).alias("__x"))
+    known = known.select("__origin", F.col("__x.tz_name").alias("__tz"), F.col("__x.date_order").alias("__order"))
+    return rows.join(known, F.col(f"`{origin}`") == F.col("__origin"), "left").drop("__origin")
 
 
 def zone_table(zone_names: DataFrame | None, limit: int = 1_000) -> dict[str, int]:
@@ -94,12 +95,12 @@ def instants(sources: dict[str, tuple[DataFrame, str, str]], origins: DataFrame,
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    keyed = d.keyed(reading_context(rows, "text", "origin", origins), F.col("text"), F.col("tz"), F.col("date_order"))
+    keyed = d.keyed(reading_context(rows, "origin", origins), F.col("text"), F.col("__tz"), F.col("__order"))
     d.update(keyed)
     return d.join(keyed, "table_name", "row_id")
 
 
 def with_utc(rows: DataFrame, text: str, origins: DataFrame, zone_names: DataFrame | None = None, out: str = "utc_ms") -> DataFrame:
     """``rows`` with the instant of ``text`` as column ``out``, parsed in place without a shuffle."""
-    read = reading_context(rows, text, "origin", origins)
-    return with_instant(read, text, "tz", "date_order", out, zone_table(zone_names)).drop("tz", "date_order")
+    read = reading_context(rows, "origin", origins)
+    return with_instant(read, text, "__tz", "__order", out, zone_table(zone_names)).drop("__tz", "__order")

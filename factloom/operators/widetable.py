@@ -47,6 +47,12 @@ def canonical(value: Column, value_type: Column) -> Column:
     )
 
 
+def declarations(metadata: DataFrame) -> DataFrame:
+    """``__declared, value_type, __key`` of the attributes; of one name spelled twice, the first in order."""
+    named = metadata.filter(F.col("attribute").isNotNull()).groupBy(F.lower(F.trim("attribute")).alias("__key"))
+    return named.agg(F.min(F.struct("attribute", "value_type")).alias("__m")).select(F.col("__m.attribute").alias("__declared"), F.col("__m.value_type").alias("value_type"), "__key")
+
+
 def declared(facts: DataFrame, metadata: DataFrame, blank: str = " ") -> DataFrame:
     """The facts of declared attributes with ``attribute`` as declared, ``value_type``, ``text``
     (the value without outer blanks, null for null and ``\\N``) and ``typed`` (canonical text).
@@ -54,7 +60,7 @@ def declared(facts: DataFrame, metadata: DataFrame, blank: str = " ") -> DataFra
     The metadata's side is broadcast by Spark only while it is under the session's threshold;
     repeated spellings in it count once.
     """
-    m = metadata.select(F.col("attribute").alias("__declared"), "value_type", F.lower(F.trim("attribute")).alias("__key")).dropDuplicates(["__key"])
+    m = declarations(metadata)
     value = F.btrim(F.col("value"), F.lit(blank))
     rows = facts.drop("value_type", "text", "typed").withColumn("__key", F.lower(F.btrim(F.col("attribute"), F.lit(" \t\r\n "))))
     rows = rows.join(m, "__key").drop("__key", "attribute").withColumnRenamed("__declared", "attribute")
@@ -122,7 +128,7 @@ def wide_table(facts: DataFrame, metadata: DataFrame, utc_ms: str = "utc_ms", ti
     misfitting values has a row of nulls. An attribute named like the entity's column gets the
     prefix ``attribute_``. More than ``most`` attributes raise an error.
     """
-    listed = bounded_rows(metadata.select("attribute", "value_type").filter(F.col("value_type").isin(*SPARK_TYPES)).dropDuplicates(["attribute"]).orderBy("attribute"), most, "attributes")
+    listed = bounded_rows(declarations(metadata).filter(F.col("value_type").isin(*SPARK_TYPES)).select("__declared", "value_type").orderBy("__declared"), most, "attributes")
     names, types = [r[0] for r in listed], [r[1] for r in listed]
     number = facts.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "attribute string, a int")
     keep = facts.select("entity", "attribute", "value", F.col(utc_ms).alias("__ms"), F.col(tie).alias("__tie")).filter(F.col("entity").isNotNull())

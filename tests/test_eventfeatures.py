@@ -38,3 +38,9 @@ def test_wide_form_and_empty(spark):
     wide = eventfeatures.widened(eventfeatures.event_features(df, "user_id", ["origin", "rating"], "rating", ONCE, dated, 120), "user_id", types).first()
     assert wide["n__web__1"] == 1 and wide["days_since_last__web__1"] == 20 and wide["n__tv__none"] == 1 and wide["days_since_last__tv__none"] is None
     assert eventfeatures.event_features(df.limit(0), "user_id", ["origin", "rating"], "rating", ONCE, dated, 120).collect() == []
+
+
+def test_columns_named_like_the_operators_own(spark):
+    df = spark.createDataFrame([("a", "x", 1, 100), ("a", "x", 1, 100), ("a", "y", 2, 101)], "entity string, type string, salt int, ts int")
+    r = eventfeatures.event_features(df, "entity", ["type"], "salt", ["entity", "type", "salt", "ts"], dated, 120).first()
+    assert (r.entity, r.n, r.days_since_last, r.total) == ("a", [1, 1], [20, 19], [1, 2])

@@ -81,3 +81,9 @@ def test_supplied_tables_equal_brute_force(spark, sf):
         got = {r.row_id: r.utc_ms for r in instants({t: (rows, key, text)}, origins, zones).collect()}
         want = {r[0]: ms for r in rows.select(key, text, "origin").collect() if (ms := to_ms(r[1], *by.get(r[2], (None, None)), names)) is not None}
         assert got == want
+
+
+def test_columns_named_like_the_operators_own_stay(spark, tables):
+    rows = spark.createDataFrame([(1, "2024-01-02 03:04:05", "utc", "mine", "too")], "id long, time string, origin string, tz string, date_order string")
+    r = with_utc(rows, "time", *tables).first()
+    assert (r.tz, r.date_order, r.utc_ms) == ("mine", "too", 1704164645000)

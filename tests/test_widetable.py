@@ -69,3 +69,9 @@ def test_batches_split_inside_an_entity(spark, meta):
 def test_empty(spark, meta):
     assert widetable.wide_table(spark.createDataFrame([], FACTS), meta).collect() == []
     assert widetable.misfits(spark.createDataFrame([], FACTS), meta).collect() == []
+
+
+def test_attributes_declared_twice_or_null(spark):
+    meta = spark.createDataFrame([("AGE", "integral"), ("age ", "str"), (None, "str"), ("X", None), ("ODD", "blob")], "attribute string, value_type string")
+    df = widetable.wide_table(spark.createDataFrame([("a", "Age", "5", 1, 1, ""), (None, "AGE", "5", 1, 1, ""), ("a", None, "5", 1, 1, ""), ("a", "x", "5", 1, 1, "")], FACTS), meta)
+    assert [tuple(r) for r in df.collect()] == [("a", 5)] and df.columns == ["entity", "AGE"]
