@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import eventfeatures, instants, keystats, rejects, rolling, sketches, widetable
+from factloom.queries import twins
 from factloom.shared import table
 
 KEYS = ["movie_id", "user_id"]
@@ -62,11 +63,23 @@ def p6_features(spark: SparkSession, d: str) -> DataFrame:
     return eventfeatures.event_features(table(spark, d, "ratings"), "user_id", ["origin", "rating"], "rating", ONE_RATING, _dated(spark, d), AS_OF_DAY)
 
 
+def p6_feature_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The features as rows: one per user and type that the user has ratings of."""
+    x = p6_features(spark, d).select("user_id", F.posexplode(F.arrays_zip("n", "days_since_last", "total")).alias("position", "x"))
+    return x.select("user_id", "position", "x.n", "x.days_since_last", "x.total").filter("n > 0")
+
+
 def p6_event_types(spark: SparkSession, d: str) -> DataFrame:
     types = eventfeatures.event_types(table(spark, d, "ratings"), ["origin", "rating"])
     return spark.createDataFrame([(i, *t) for i, t in enumerate(types)], "position int, origin string, rating int")
 
 
+def p7_wide_values(spark: SparkSession, d: str) -> DataFrame:
+    """Some of the wide table's columns of either kind, where any is set."""
+    names = ["USER_AGE", "USER_IS_VERIFIED", "USER_SEGMENT", "USER_JOIN_DATE", "MOVIE_RATING_COUNT"]
+    return p7_wide(spark, d).select("entity", *[F.col(n).alias(n.lower()) for n in names]).dropna("all", subset=[n.lower() for n in names])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return widetable.misfits(table(spark, d, "eavt"), table(spark, d, "feature_metadata")).select("entity", "attribute")
 
@@ -76,9 +89,50 @@ def p7_wide(spark: SparkSession, d: str) -> DataFrame:
     return widetable.wide_table(facts, table(spark, d, "feature_metadata"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_stats, p2_found, p3_rolling, p4_found, p4_valid_rows, p5_distinct_counts, p5_partials, p6_features, p6_event_types, p7_found, p7_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_stats, p2_found, p3_rolling, p4_found, p4_valid_rows, p5_distinct_counts, p5_partials, p6_features, p6_feature_rows, p6_event_types, p7_found, p7_wide, p7_wide_values)}
+
+def _wide_twin() -> str:
+    columns = {"user_age": "BIGINT", "user_is_verified": "BOOLEAN", "user_segment": "VARCHAR", "user_join_date": "DATE", "movie_rating_count": "BIGINT"}
+    cells = ", ".join(f"CAST(max(CASE WHEN a = '{c}' THEN v END) AS {t}) AS {c}" for c, t in columns.items())
+    set_ = " OR ".join(f"{c} IS NOT NULL" for c in columns)
+    return f"""
+        WITH {twins.instants(twins.EAVT)},
+        facts AS (
+            SELECT entity, lower(trim(attribute)) AS a, CASE WHEN value <> '\\N' THEN trim(value, ' ') END AS v, coalesce(utc_ms, -1) AS moment, fact_id FROM eavt LEFT JOIN inst ON fact_id = row_id
+            WHERE lower(trim(attribute)) IN ({', '.join(f"'{c}'" for c in columns)})),
+        fit AS (
+            SELECT * FROM facts WHERE v IS NULL OR CASE a WHEN 'user_is_verified' THEN lower(v) IN ('true', 'false') WHEN 'user_segment' THEN true
+            WHEN 'user_join_date' THEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(v AS DATE) IS NOT NULL
+            ELSE regexp_full_match(v, '[+-]?[0-9]+') AND try_cast(v AS BIGINT) IS NOT NULL END),
+        latest AS (SELECT entity, a, v FROM (SELECT *, row_number() OVER (PARTITION BY entity, a ORDER BY moment DESC, fact_id DESC) AS k FROM fit) WHERE k = 1),
+        wide AS (SELECT entity, {cells} FROM latest GROUP BY entity)
+        SELECT * FROM wide WHERE {set_}"""
+
 
 ORACLES = {
+    "p2_found": f"WITH {twins.instants(twins.RATINGS + ' UNION ALL ' + twins.EAVT)} SELECT table_name, row_id, utc_ms FROM inst",
+    "p3_rolling": f"""
+        WITH {twins.ONCE},
+        daily AS (SELECT user_id, day, count(rating) AS n, coalesce(sum(rating), 0) AS s FROM once WHERE day IS NOT NULL GROUP BY user_id, day),
+        span AS (SELECT user_id, unnest(generate_series(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP), INTERVAL 1 DAY)) AS moment FROM daily GROUP BY user_id),
+        every AS (SELECT span.user_id, CAST(moment AS DATE) AS day, coalesce(n, 0) AS n, coalesce(s, 0) AS s FROM span LEFT JOIN daily ON span.user_id = daily.user_id AND CAST(moment AS DATE) = daily.day),
+        totals AS (
+            SELECT user_id, day, CAST(sum(n) OVER a AS BIGINT) AS n_7, CAST(sum(s) OVER a AS DOUBLE) AS sum_7, CAST(sum(n) OVER b AS BIGINT) AS n_30, CAST(sum(s) OVER b AS DOUBLE) AS sum_30
+            FROM every WINDOW a AS (PARTITION BY user_id ORDER BY day ROWS 6 PRECEDING), b AS (PARTITION BY user_id ORDER BY day ROWS 29 PRECEDING))
+        SELECT user_id, day, n_7, sum_7, CASE WHEN n_7 > 0 THEN sum_7 / n_7 END AS mean_7, n_30, sum_30, CASE WHEN n_30 > 0 THEN sum_30 / n_30 END AS mean_30 FROM totals""",
+    "p4_found": f"""
+        WITH {twins.LINES}
+        SELECT line_id, 'quoting' AS reason FROM w WHERE NOT quoted UNION ALL SELECT line_id, 'columns' FROM w WHERE quoted AND NOT four
+        UNION ALL SELECT line_id, 'rating' FROM w WHERE four AND NOT rating_ok UNION ALL SELECT line_id, 'user_id' FROM w WHERE four AND NOT user_ok""",
+    "p4_valid_rows": f"""
+        WITH {twins.LINES}
+        SELECT line_id, origin, trim(v1, ' ') AS user_id, v2 AS movie_id, CAST(trim(v3, ' ') AS INTEGER) AS rating, v4 AS timestamp FROM w WHERE four AND rating_ok AND user_ok""",
+    "p6_feature_rows": f"""
+        WITH {twins.ONCE},
+        types AS (SELECT origin, rating, CAST(row_number() OVER (ORDER BY origin NULLS FIRST, rating NULLS FIRST) - 1 AS INTEGER) AS position FROM (SELECT DISTINCT origin, rating FROM ratings))
+        SELECT user_id, position, CAST(count(*) AS BIGINT) AS n, CAST(date_diff('day', max(day), DATE '2024-12-31') AS INTEGER) AS days_since_last, CAST(coalesce(sum(once.rating), 0) AS BIGINT) AS total
+        FROM once JOIN types ON once.origin IS NOT DISTINCT FROM types.origin AND once.rating IS NOT DISTINCT FROM types.rating GROUP BY user_id, position""",
+    "p7_wide_values": _wide_twin(),
     "p1_found": """
         WITH k AS (SELECT 'movie_id' AS field, movie_id AS key_value FROM ratings UNION ALL SELECT 'user_id', user_id FROM ratings)
         SELECT field, key_value FROM k WHERE key_value IS NOT NULL GROUP BY field, key_value
