@@ -37,4 +37,13 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p8_containers, p8_fill, p9_found, p9_leaked_items, p10_found, p10_by_source)}
-ORACLES: dict[str, str] = {}
+_LEAKS = """
+    WITH texts AS (SELECT doc_id AS id, text, 'd' AS kind FROM documents UNION ALL SELECT item_id, text, 'i' FROM eval_items),
+    w AS (SELECT id, kind, regexp_extract_all(lower(regexp_replace(text, '-(\r\n|\n|\r)', '', 'g')), '[\\p{L}\\p{N}]+') AS w FROM texts),
+    runs AS (SELECT id, kind, hash(array_to_string(w[k:k + 14], ' ')) AS run FROM (SELECT id, kind, w, unnest(range(1, len(w) - 13)) AS k FROM w WHERE len(w) >= 15)),
+    found AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM runs d JOIN runs i ON d.run = i.run WHERE d.kind = 'd' AND i.kind = 'i')"""
+
+ORACLES = {
+    "p9_found": f"{_LEAKS} SELECT doc_id, item_id FROM found",
+    "p9_leaked_items": f"{_LEAKS} SELECT item_id, CAST(count(*) AS BIGINT) AS n_documents, any_value(suite) AS suite FROM found JOIN eval_items USING (item_id) GROUP BY item_id",
+}
