@@ -515,7 +515,7 @@ def q_self_join(spark, d):
 
 
 @query("""
-    SELECT a.id AS entity, 'same_kind' AS name, CAST(count(*) AS BIGINT) AS v_long FROM (SELECT DISTINCT id, gender, occupation FROM users WHERE id < '1000300') a
+    SELECT a.id AS entity, 'same_kind' AS name, CAST(count(*) AS BIGINT) AS v_long FROM (SELECT DISTINCT id, gender, occupation FROM users) a
     JOIN (SELECT DISTINCT gender, occupation FROM users) b ON a.gender IS NOT DISTINCT FROM b.gender AND a.occupation IS NOT DISTINCT FROM b.occupation GROUP BY a.id""")
 def q_join_optional_keys(spark, d):
     kind = Schema("Kind", "gender string, occupation string", optional=("gender", "occupation"))
@@ -524,7 +524,7 @@ def q_join_optional_keys(spark, d):
     key = lambda u, k: u.id
     s = _agg(src, key, _builder(src, key).select(agg.size()).as_feature(FT.DISCRETE, "same_kind", "Kinds alike"))
     users = table(spark, d, "users")
-    left = DataFrameSource(users.filter("id < '1000300'").select("id", "gender", "occupation")).distinct()
+    left = DataFrameSource(users.select("id", "gender", "occupation")).distinct()
     right = DataFrameSource(users.select("gender", "occupation")).distinct()
     return shown(s.generate(bound(spark, d, src, join(left, right)), CONTEXT), "v_long")
 

@@ -132,9 +132,19 @@ class DerivedSinkPartition:
     partition: Partition
     values: tuple[Callable[[DataFrame], Column], ...]
 
+    @staticmethod
+    def by_field(name: str) -> DerivedSinkPartition:
+        return DerivedSinkPartition(Partition.by_field(name), (lambda df: df[name].cast("string"),))
+
+    @staticmethod
+    def by_day(column: str, pattern: str = "yyyy-MM-dd") -> DerivedSinkPartition:
+        """Year, month and day of a text column of the given date pattern."""
+        day = lambda df, p: F.date_format(F.to_timestamp(df[column], pattern), p)
+        return DerivedSinkPartition(Partition.by_day(), tuple((lambda df, p=p: day(df, p)) for p in ("yyyy", "MM", "dd")))
+
     @staticmethod
     def eavt_by_day() -> DerivedSinkPartition:
-        return DerivedSinkPartition(Partition.by_day(), tuple((lambda df, a=a, n=n: F.substring(df["time"], a, n)) for a, n in ((1, 4), (6, 2), (9, 2))))
+        return DerivedSinkPartition.by_day("time")
 
 
 SinkPartition = FixedSinkPartition | DerivedSinkPartition
