@@ -109,7 +109,7 @@ def _pack(capacity: int, apart: Sequence[tuple[str, str]]):
             away[a] |= flag[b]
             away[b] |= flag[a]
         # texts with copies first: late, when few containers are open, they would open new ones
-        order = sorted(range(n), key=lambda i: (cols["cluster"][i] not in bits, -cols["size"][i], cols["doc_id"][i], cols["part"][i]))
+        order = sorted(range(n), key=lambda i: (cols["cluster"][i] not in bits, -cols["size"][i], cols["doc_id"][i] is None, cols["doc_id"][i] or 0, cols["part"][i]))
         bins, where = BestFit(capacity), [0] * n
         for i in order:
             where[i] = bins.add(cols["size"][i], flag[cols["source"][i]], away[cols["source"][i]], bits.get(cols["cluster"][i], 0))

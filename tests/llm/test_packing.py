@@ -59,6 +59,11 @@ def test_containers_hold_and_copies_stay_apart(spark):
     check(rows, docs, 256)
 
 
+def test_nulls_in_every_column_and_repeated_ids(spark):
+    rows = run(spark, [(None, "a b c", None), (None, "a b c", "s"), (1, "d e", None), (1, "d e", None), (2, None, None)], capacity=16)
+    assert len(rows) == 5 and len({r.container_id for r in rows if r.doc_id == 1}) == 2 and len({r.container_id for r in rows if r.doc_id is None}) == 2
+
+
 def test_sources_declared_apart_never_share(spark):
     rnd = random.Random(5)
     docs = [(i, "word " * rnd.randrange(1, 40) + str(i), rnd.choice("abc")) for i in range(200)]
