@@ -48,7 +48,7 @@ def p4_valid_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _days(spark: SparkSession, d: str) -> DataFrame:
-    return _dated(spark, d)(table(spark, d, "ratings").select(*ONE_RATING)).withColumn("day", F.timestamp_millis("utc_ms").cast("date"))
+    return _dated(spark, d)(table(spark, d, "ratings").select(*ONE_RATING)).withColumn("day", F.date_from_unix_date(rolling.day_number(F.col("utc_ms"))))
 
 
 def p5_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
