@@ -294,3 +294,25 @@ def test_pushdown_and_pruning_reach_the_scan(spark, tmp_path):
     df = s.generate(src.bind(from_(DataFrameSource(spark.read.parquet(str(tmp_path / "c"))))).load(), CTX)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(age,60)" in plan and "ReadSchema: struct<id:string,age:int,height:double>" in plan
+
+
+def test_features_and_sets_apply_without_a_sink(spark):
+    from factloom import Feature
+
+    src, key = From(CUSTOMER), lambda c: c.id
+    c = src.view()
+    own = Feature(src, "ns", "own", "any columns", FT.NOMINAL, c.id, F.rand(7) >= 0, F.upper(c.name))
+    df = load(spark, src, CUSTOMERS)
+    assert sorted(map(tuple, own.apply(df).collect())) == [(str(i), "own", x) for i, x in enumerate("ABCD", 1)]
+    s = made(FeatureSet, src, key, own)
+    assert "time" not in s.apply(df).columns and s.apply(df).count() == 4
+
+
+def test_counters_and_optional_values_do_not_change_results(spark):
+    from factloom.stats import Stats
+
+    src = Join.left(PAIR).to(PAIR).on(lambda a: a.k, lambda b: b.k)
+    a, b = (DataFrameSource(spark.createDataFrame(x, PAIR.struct)) for x in (LEFT, RIGHT))
+    stats = Stats()
+    assert src.bind(left_join(a, b)).load(stats).count() == 8
+    assert dict(stats.values())["join.level1"] == 8

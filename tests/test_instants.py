@@ -87,3 +87,14 @@ def test_columns_named_like_the_operators_own_stay(spark, tables):
     rows = spark.createDataFrame([(1, "2024-01-02 03:04:05", "utc", "mine", "too")], "id long, time string, origin string, tz string, date_order string")
     r = with_utc(rows, "time", *tables).first()
     assert (r.tz, r.date_order, r.utc_ms) == ("mine", "too", 1704164645000)
+
+
+@pytest.mark.parametrize("zone", ["America/Los_Angeles", "Asia/Kathmandu"])
+def test_the_sessions_zone_does_not_matter(spark, tables, zone):
+    rows = spark.createDataFrame([(i, t, o) for i, (t, o, _) in enumerate(CASES)], "id long, time string, origin string")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = {r.id: r.utc_ms for r in with_utc(rows, "time", *tables).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {i: ms for i, (_, _, ms) in enumerate(CASES)}
