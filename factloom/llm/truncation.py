@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.shared import written
+
 # What may be set after the end of a text without belonging to it (a stray word
 # inside a mark is allowed for).
 END_SIGNS = " \t\r\n■"
@@ -72,14 +74,14 @@ def endings(documents: DataFrame) -> DataFrame:
     core = F.when((F.length(kept) < _MARK_CHARS // 2) & (F.length(text) > _MARK_CHARS), more).otherwise(core)
     # what is judged looks back no further than this
     core = F.substring(F.rtrim(core, F.lit(" \t\r\n")), -_END_CHARS, _END_CHARS)
-    d = documents.filter(F.length("text") > 0).select("doc_id", "source", core.alias("core")).filter(F.length("core") > 0)
+    d = documents.filter(F.length("text") > 0).select("doc_id", "source", core.alias("core"))
     d = d.withColumn("dotted", F.col("core").rlike(DOTS + "$"))
     d = d.withColumn("bare", F.when(F.col("dotted"), F.regexp_replace("core", rf"\s*{DOTS}$", "")).otherwise(F.col("core")))
     # the last words, out of the end of the text only: cut off before the words are taken apart
     tail = F.regexp_replace(F.substring(F.col("bare"), -200, 200), r"^[\p{L}\p{N}'’-]*[^\p{L}\p{N}]*(?=.{60})", "")
-    words = F.regexp_extract_all(tail, F.lit(_WORDS), F.lit(1))
-    last = lambda i: F.try_element_at(words, F.lit(-i))
-    line = F.substring_index("bare", "\n", -1)
+    d = d.withColumn("words", F.regexp_extract_all(tail, F.lit(_WORDS), F.lit(1))).withColumn("line", F.substring_index("bare", "\n", -1))
+    d = d.withColumn("title", F.regexp_replace("line", r"^\d+[.)] ", ""))
+    last = lambda i: F.try_element_at("words", F.lit(-i))
     before = F.substring_index(F.substring_index("bare", "\n", -2), "\n", 1)
     closed = F.col("bare").rlike(rf"[.!?]{_CLOSERS}$") & ~F.col("bare").rlike(rf"\b(?:{'|'.join(ABBREVIATIONS)})\.$|\p{{L}}\s+M\.$")
     return d.select(
@@ -88,18 +90,17 @@ def endings(documents: DataFrame) -> DataFrame:
         "dotted",
         *[_word_class(last(i)).alias(c) for i, c in ((3, "a"), (2, "b"), (1, "c"))],
         last(1).alias("word"),
-        closed.alias("closed"),
+        (closed | (F.length("core") == 0)).alias("closed"),
         F.col("bare").rlike(r"[\[(][^\[\]()]{0,80}$").alias("open_note"),
         F.col("bare").rlike(r"[\])”»\"]$").alias("note"),
         F.col("core").rlike(r"[—–]$").alias("breaks_off"),
-        (line.rlike(rf"^{_LIST_LINE}$") & before.rlike(rf"^\s*{_LIST_LINE}\s*$")).alias("list"),
-        _heading(F.col("bare"), line).alias("heading"),
+        (F.col("line").rlike(rf"^{_LIST_LINE}$") & before.rlike(rf"^\s*{_LIST_LINE}\s*$")).alias("list"),
+        _heading(F.col("bare"), F.col("title")).alias("heading"),
     )
 
 
-def _heading(bare: Column, line: Column) -> Column:
+def _heading(bare: Column, title: Column) -> Column:
     """A text of one short line without a sentence in it, whose longer words are capitalised."""
-    title = F.regexp_replace(line, r"^\d+[.)] ", "")
     plain = ~title.rlike(r"[.!?,;] |[,;:-]$") & ~title.rlike(r"(?<=[ ])\p{Ll}{5,}") & title.rlike(r"^\p{Lu}|^\d")
     return ~F.trim(bare).contains("\n") & (F.length("bare") <= HEADING_CHARS) & plain & title.rlike(r"\S \S")
 
@@ -110,12 +111,12 @@ def judged(documents: DataFrame, rare: float = 0.05) -> DataFrame:
     ``rare`` is the share of a trigram's occurrences at ends below which it is "almost never
     terminal". The counts are over all texts.
 
-    Defined results: null and empty texts, and texts of end marks or page footers alone, have no
-    row; behind 600 marks and footers a text counts as complete; a text of fewer than three words is judged by its last word and its marks.
+    Defined results: null and empty texts have no row; texts of end marks or page footers alone
+    are not cut; behind 600 marks and footers a text counts as complete; a text of fewer than three words is judged by its last word and its marks.
     """
     ends = endings(documents)
-    runs = word_runs(documents)
-    # both come from the same shuffled counts, which Spark computes once
+    # both counts come from this table; recomputed, the texts would be taken apart twice
+    runs = written(word_runs(documents), "word-runs")
     trigrams = runs.groupBy("a", "b", "c").agg(F.sum(F.col("n") - F.col("n_ends")).alias("inside"), F.sum("n_ends").alias("at_end"))
     known = runs.groupBy("word").agg(F.sum("n").alias("seen"), F.sum("n_ends").alias("word_at_end"))
     rows = ends.join(trigrams, ["a", "b", "c"], "left").join(known, "word", "left")
