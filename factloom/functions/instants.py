@@ -48,7 +48,7 @@ def known_zones(spark: SparkSession) -> list[str]:
 
 
 def blank_trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\v\f\r"))
 
 
 def context_free(text: Column) -> Column:
