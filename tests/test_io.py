@@ -4,7 +4,10 @@ import os
 
 import pytest
 
-from factloom import AggregationFeatureSet, DataFrameSource, FeatureContext, FeatureSet, FeatureStub, FeatureType as FT, From, MapRange, MetadataSet, MinMaxRange, ParquetSource, Partition, Partitions, Schema, SetRange, TextSource, ValueType as VT, agg, decode_leniently, eavt, from_
+from factloom import AggregationFeatureSet, DataFrameSource, FeatureContext, FeatureSet, FeatureStub, From, MapRange, MetadataSet, MinMaxRange, ParquetSource, Partition, Partitions
+from factloom import FeatureType as FT
+from factloom import Schema, SetRange, TextSource, agg, decode_leniently, eavt, from_
+from factloom import ValueType as VT
 from factloom import cli, sinks
 from factloom.job import FeatureJobConfig, FeatureSetExecution, FeatureSetExecutions, SimpleFeatureJob
 from factloom.metadata import Json0, Json1, Psv, read
