@@ -46,4 +46,6 @@ _LEAKS = """
 ORACLES = {
     "p9_found": f"{_LEAKS} SELECT doc_id, item_id FROM found",
     "p9_leaked_items": f"{_LEAKS} SELECT item_id, CAST(count(*) AS BIGINT) AS n_documents, any_value(suite) AS suite FROM found JOIN eval_items USING (item_id) GROUP BY item_id",
+    "p10_found": truncation.twin()["truncated"],
+    "p10_by_source": truncation.twin()["by_source"],
 }

@@ -1,140 +1,215 @@
 """Texts that stop before they end, by word trigrams inside texts versus at ends, in pure SQL.
 
-For each run of three words the corpus is counted twice: how often it goes on (another word
-follows in the same sentence) and how often it ends (a closing mark follows). A text whose last
-three words go on almost everywhere else, or whose last word occurs nowhere else, stops inside
-a sentence or a word; the text's own closing marks then confirm or clear it.
+A text is rewritten as tokens: words, marks, and one token each for what stands in a bracketed
+note and for the words of lines that hold names alone. For each run of three tokens the corpus
+is counted twice: how often it goes on inside a text and how often it ends one. A text whose
+last trigram is frequent inside texts but almost never terminal was cut. Nothing else decides.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from factloom.shared import written
 
-# What may be set after the end of a text without belonging to it (a stray word
-# inside a mark is allowed for).
-END_SIGNS = " \t\r\n■"
-END_MARKS = (r"\*(?:\s*(?:\p{Ll}{1,9})?\s*\*){2}", r"\(ends\)", r"\[ends?\]", r"#{2,}", r"-30-")
-PAGE_FOOTERS = (r"[—–-] ?\d+ ?[—–-]", r"\[col\. ?(?:\p{Ll}{1,9} )?\d+\]", r"\[?[Pp](?:age|\.) ?\d+\]?")
-DOTS = r"(?:\[ ?(?:…|\.{3,}) ?\]|\( ?(?:…|\.{3,}) ?\)|…|\.{3,}|(?:\. ){2,}\.)"
-# Titles and abbreviations whose full stop does not close a sentence.
-ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Mx", "Dr", "Prof", "St", "No", "Nos", "hon", "Hon", "Mme", "Mlle", "Hr", "Nr", "Art", "Abs", "vgl", "bzw", "vs", "cf")
-_CLOSERS = r"[\"'”’»“\])]*"
-# (bounded: the JVM's matcher recurses once per repetition)
-_TAIL = r"(?:[\s■]++|" + "|".join((*END_MARKS, *PAGE_FOOTERS)) + r"){1,200}$"
-_WORDS = r"([\p{L}\p{N}](?:[\p{L}\p{N}'’]|-(?=\p{L}))*)([^\p{L}\p{N}]*)"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
-_LIST_LINE = rf"(?:{_NAME}(?: {_NAME}){{1,2}}|{_NAME}, (?:\p{{Lu}}\. ?)+|\p{{Lu}}[\p{{Lu}} ]+|(?:Ayes|Noes|Nays|Ja|Nein|Pour|Contre)[ :0-9]*)"
-_MARK_CHARS = 60
-_END_CHARS = 1_000
-# A line of at most this many characters may be a heading.
-HEADING_CHARS = 110
-
-
-def _word_class(w: Column) -> Column:
-    """Numbers and capitalised words (names above all) count as one word each."""
-    return F.when(w.rlike(r"^\d"), F.lit("#")).when(w.rlike(r"^\p{Lu}"), F.lit("A")).otherwise(w)
-
-
-def word_runs(documents: DataFrame) -> DataFrame:
-    """``a, b, c, word, n, n_ends``: every three consecutive words of a sentence that something
-    follows, by their classes and the last word itself; how often, and how often at an end.
-
-    The text is rewritten as words and full stops parted by single blanks, and once more with
-    the classes of the words, so that both split into arrays of the same positions.
+# Patterns and replacements in the syntax that Java's regular expressions share with RE2.
+# End marks, page footers and dots of omission, each rewritten as one sign (a
+# stray word inside a mark is allowed for). A footer has a line of its own.
+SIGNS = (
+    (r"-\r?\n", ""),
+    (r"\*\s*(?:\p{Ll}{1,9}\s*)?\*\s*(?:\p{Ll}{1,9}\s*)?\*|\(ends\)|\[ends?\]|#{2,}|-30-", "■"),
+    (r"(?m)^[ \t■]*(?:[—–-] ?\d+ ?[—–-]|\[col\. ?(?:\p{Ll}{1,9} )?\d+\]|\[?[Pp](?:age|\.) ?\d+\]?)[ \t■\r]*$", "■"),
+    (r"\[ ?(?:…|\.{3,}) ?\]|\( ?(?:…|\.{3,}) ?\)|\.{3,}|\. \.[ .]*", "…"),
+)
+# Closed notes (also one within another), then a note that is still open at the end, then lines.
+NOTES = (
+    (r"[\[(][^\[\]()]*[\])]", " ⟦ ⟦ ⟦ ⟧ "),
+    (r"[\[(][^\[\]()]*[\])]", " ⟦ ⟦ ⟦ ⟧ "),
+    (r"[\[(][^\[\]()]*$", " ⟦ ⟦ ⟦ "),
+    (r"\r", "\n"),
+    (r"\s*\n\s*", "\n"),
+)
+# How a line of names, a heading or an entry of a list starts, and what none of them holds.
+NAMES_START = r"^\s*[\p{Lu}\p{N}]"
+NAMES_LACK = r"(?:^|[^\p{L}\p{N}])\p{Ll}{5,}|\p{L}{2}[.!?…]|[;?!“”«»\x22⟦⟧…]"
+NAME = (r"[\p{L}\p{N}.\x27’]+", "¶")
+# Marks of one kind become one token, as those of the first row become those of the second.
+ALIKE = ("!;–»«„…", "?:—”““.")
+MARKS = (
+    (r"\x27", "’"),
+    (r"\x22([\p{L}\p{N}])", r" “ \1"),
+    (r"\x22", "”"),
+    (r"(^|[^\p{L}])(\p{Ll})\.(\p{Ll})\.", r"\1\2\3."),
+    (r"’", "’ "),
+    (r"([.?,:—“”])", r" \1 "),
+    (r"[^\p{L}\p{N}.?,:—“”’⟦⟧¶-]+", " "),
+    (r" -+", " "),
+)
+CLASSES = ((r" \p{Lu}[^ ]*", " A"), (r" \p{N}[^ ]*", " #"))
+
+
+class _Spark:
+    """The functions that Spark's SQL and DuckDB's (the twin's) name differently."""
+
+    any_hash, lines = "xxhash64", "split(bare_notes, r'\\n')"
+    blanks = r"' \t\r\n■'", r"' \t\r\n■…'"
+
+    def replaced(self, x: str, steps) -> str:
+        for pattern, by in steps:
+            by = by.replace("\\", "$")
+            x = f"regexp_replace({x}, r'{pattern}', '{by}')"
+        return x
+
+    def stripped(self, x: str, chars: str) -> str:
+        return f"trim(TRAILING {chars} FROM {x})"
+
+    def matches(self, x: str, pattern: str) -> str:
+        return f"regexp({x}, r'{pattern}')"
+
+    def per_line(self, of) -> str:
+        return f"array_join(transform(lines, (x, i) -> {of('x', 'i = 0', 'get(lines, i - 1)')}), ' ')"
+
+    positions = """
+        SELECT doc_id, source, h, dotted, inline(arrays_zip(slice(k, 1, n), slice(k, 2, n), slice(t, 2, n), slice(t, 3, n), slice(t, 4, n))) AS (k1, k2, before, t, following)
+        FROM (SELECT *, size(t) - 2 AS n FROM (SELECT doc_id, source, h, dotted, split(s, ' ') AS t, split(classes, ' ') AS k FROM classed))"""
+
+
+class _Duck(_Spark):
+    any_hash, lines = "hash", "string_split(bare_notes, chr(10))"
+    blanks = "' ' || chr(9) || chr(13) || chr(10) || '■'", "' ' || chr(9) || chr(13) || chr(10) || '■…'"
+
+    def replaced(self, x: str, steps) -> str:
+        for pattern, by in steps:
+            x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+        return x
+
+    def stripped(self, x: str, chars: str) -> str:
+        return f"rtrim({x}, {chars})"
+
+    def matches(self, x: str, pattern: str) -> str:
+        return f"regexp_matches({x}, '{pattern}')"
+
+    def per_line(self, of) -> str:
+        return f"array_to_string(list_transform(lines, lambda x, i: {of('x', 'i = 1', 'lines[i - 1]')}), ' ')"
+
+    positions = """
+        SELECT doc_id, source, h, dotted, k[i] AS k1, k[i + 1] AS k2, t[i + 1] AS before, t[i + 2] AS t, t[i + 3] AS following
+        FROM (SELECT *, unnest(range(1, len(t) - 1)) AS i FROM (SELECT doc_id, source, h, dotted, string_split(s, ' ') AS t, string_split(classes, ' ') AS k FROM classed))"""
+
+
+def _counted(q: _Spark, documents: str) -> str:
+    """One row for each trigram inside texts (``doc_id`` null) and one for each text's last one.
+
+    One word over and over tells nothing of how texts go on: such trigrams are left out.
     """
-    text = F.replace(F.replace(F.col("text"), F.lit("-\r\n"), F.lit("")), F.lit("-\n"), F.lit(""))
-    text = F.regexp_replace(text, r"[.!?…—]++", " . ")
-    text = F.regexp_replace(F.concat(F.lit(" "), text), r"[^\p{L}\p{N}.'’-]++", " ")
-    # a text's own last words are what is judged: they don't count
-    rows = documents.filter(F.length("text") > 0).select(F.rtrim(text, F.lit(" .")).alias("t"))
-    classes = F.regexp_replace(F.regexp_replace("t", r" \p{Lu}[^ ]*+", " A"), r" \d[^ ]*+", " #")
-    rows = rows.select(F.split("t", " ").alias("w"), F.split(classes, " ").alias("k"))
-    # shifted copies side by side (the first element is empty): each word is copied a few times,
-    # where exploding positions beside the arrays would copy the whole text for every word
-    shifted = [F.slice(c, i, F.greatest(F.size(c) - i + 1, F.lit(0))).alias(name) for c, i, name in (("k", 2, "a"), ("k", 3, "b"), ("k", 4, "c"), ("w", 4, "word"), ("k", 5, "following"))]
-    runs = rows.select(*shifted).select(F.inline(F.arrays_zip("a", "b", "c", "word", "following")))
-    runs = runs.filter(F.col("following").isNotNull() & (F.col("a") != ".") & (F.col("b") != ".") & (F.col("c") != "."))
-    runs = runs.withColumn("ends", F.col("following") == ".")
-    return runs.groupBy("a", "b", "c", "word").agg(F.count(F.lit(1)).alias("n"), F.count_if("ends").alias("n_ends"))
-
-
-def endings(documents: DataFrame) -> DataFrame:
-    """``doc_id, source`` and what each non-empty text ends with."""
-    text = F.rtrim(F.col("text"), F.lit(END_SIGNS))
-    # marks are sought in the last characters; further ahead only where those are hardly more
-    last = F.substring(text, -_MARK_CHARS, _MARK_CHARS)
-    kept = F.regexp_replace(last, _TAIL, "")
-    core = F.concat(F.substring(text, F.lit(1), F.greatest(F.length(text) - _MARK_CHARS, F.lit(0))), kept)
-    more = text
-    for _ in range(3):
-        more = F.regexp_replace(more, _TAIL, "")
-    core = F.when((F.length(kept) < _MARK_CHARS // 2) & (F.length(text) > _MARK_CHARS), more).otherwise(core)
-    # what is judged looks back no further than this
-    core = F.substring(F.rtrim(core, F.lit(" \t\r\n")), -_END_CHARS, _END_CHARS)
-    d = documents.filter(F.length("text") > 0).select("doc_id", "source", core.alias("core"))
-    d = d.withColumn("dotted", F.col("core").rlike(DOTS + "$"))
-    d = d.withColumn("bare", F.when(F.col("dotted"), F.regexp_replace("core", rf"\s*{DOTS}$", "")).otherwise(F.col("core")))
-    # the last words, out of the end of the text only: cut off before the words are taken apart
-    tail = F.regexp_replace(F.substring(F.col("bare"), -200, 200), r"^[\p{L}\p{N}'’-]*[^\p{L}\p{N}]*(?=.{60})", "")
-    d = d.withColumn("words", F.regexp_extract_all(tail, F.lit(_WORDS), F.lit(1))).withColumn("line", F.substring_index("bare", "\n", -1))
-    d = d.withColumn("title", F.regexp_replace("line", r"^\d+[.)] ", ""))
-    last = lambda i: F.try_element_at("words", F.lit(-i))
-    before = F.substring_index(F.substring_index("bare", "\n", -2), "\n", 1)
-    closed = F.col("bare").rlike(rf"[.!?]{_CLOSERS}$") & ~F.col("bare").rlike(rf"\b(?:{'|'.join(ABBREVIATIONS)})\.$|\p{{L}}\s+M\.$")
-    return d.select(
-        "doc_id",
-        "source",
-        "dotted",
-        *[_word_class(last(i)).alias(c) for i, c in ((3, "a"), (2, "b"), (1, "c"))],
-        last(1).alias("word"),
-        (closed | (F.length("core") == 0)).alias("closed"),
-        F.col("bare").rlike(r"[\[(][^\[\]()]{0,80}$").alias("open_note"),
-        F.col("bare").rlike(r"[\])”»\"]$").alias("note"),
-        F.col("core").rlike(r"[—–]$").alias("breaks_off"),
-        (F.col("line").rlike(rf"^{_LIST_LINE}$") & before.rlike(rf"^\s*{_LIST_LINE}\s*$")).alias("list"),
-        _heading(F.col("bare"), F.col("title")).alias("heading"),
-    )
-
-
-def _heading(bare: Column, title: Column) -> Column:
-    """A text of one short line without a sentence in it, whose longer words are capitalised."""
-    plain = ~title.rlike(r"[.!?,;] |[,;:-]$") & ~title.rlike(r"(?<=[ ])\p{Ll}{5,}") & title.rlike(r"^\p{Lu}|^\d")
-    return ~F.trim(bare).contains("\n") & (F.length("bare") <= HEADING_CHARS) & plain & title.rlike(r"\S \S")
-
-
-def judged(documents: DataFrame, rare: float = 0.05) -> DataFrame:
-    """``doc_id, source, cut`` for every non-empty text.
-
-    ``rare`` is the share of a trigram's occurrences at ends below which it is "almost never
-    terminal". The counts are over all texts.
-
-    Defined results: null and empty texts have no row; texts of end marks or page footers alone
-    are not cut; behind 600 marks and footers a text counts as complete; a text of fewer than three words is judged by its last word and its marks.
+
+    def names(line: str) -> str:
+        return f"({q.matches(line, NAMES_START)} AND NOT {q.matches(line, NAMES_LACK)})"
+
+    def line(x: str, first: str, before: str) -> str:
+        return f"CASE WHEN {names(x)} AND ({first} OR {names(before)}) THEN {q.replaced(x, (NAME,))} ELSE {x} END"
+
+    return f"""
+        WITH signed AS (SELECT doc_id, source, {q.any_hash}(text) AS h, {q.replaced('text', SIGNS)} AS x FROM {documents} WHERE length(text) > 0),
+        stripped AS (SELECT doc_id, source, h, {q.stripped('x', q.blanks[0])} AS core, {q.stripped('x', q.blanks[1])} AS bare FROM signed),
+        noted AS (SELECT doc_id, source, h, core LIKE '%…' AND NOT {q.matches('bare', r'[.!?][^\p{L}\p{N}]*$')} AS dotted, {q.replaced('bare', NOTES)} AS bare_notes FROM stripped),
+        in_lines AS (SELECT doc_id, source, h, dotted, {q.lines} AS lines FROM noted),
+        named AS (SELECT doc_id, source, h, dotted, {q.per_line(line)} AS x FROM in_lines),
+        marked AS (SELECT doc_id, source, h, dotted, {q.replaced(f"translate(x, '{ALIKE[0]}', '{ALIKE[1]}')", MARKS)} AS x FROM named),
+        tokens AS (SELECT doc_id, source, h, dotted, trim('^ ^ ' || trim(x)) AS s FROM marked),
+        classed AS (SELECT *, {q.replaced('s', CLASSES)} AS classes FROM tokens),
+        positions AS ({q.positions}),
+        trigrams AS (
+            SELECT k1, k2, CASE WHEN t IN ('.', '?') THEN before || t ELSE t END AS c, following IS NULL AS is_end, following IN ('.', '?') AS closes,
+            CASE WHEN following IS NULL THEN doc_id END AS doc_id, CASE WHEN following IS NULL THEN source END AS source, CASE WHEN following IS NULL THEN h END AS h,
+            following IS NULL AND dotted AS dotted
+            FROM positions WHERE following IS NULL OR k1 <> k2 OR before <> t OR lower(t) = upper(t))
+        SELECT k1, k2, c, is_end, doc_id, source, h, dotted, count(*) AS n, count(CASE WHEN closes THEN 1 END) AS n_close
+        FROM trigrams GROUP BY k1, k2, c, is_end, doc_id, source, h, dotted"""
+
+
+def _totals(q: _Spark, counted: str) -> str:
+    """One row for each trigram: its classes, its count, that before a closing mark, and that at
+    ends of different texts."""
+
+    def of(k: str) -> str:
+        return f"CASE WHEN {k} <> 'A' AND {q.matches(k, r'^\p{L}')} THEN 'w' ELSE {k} END"
+
+    return f"""
+        WITH ends AS (SELECT k1, k2, c, h FROM {counted} WHERE is_end GROUP BY k1, k2, c, h),
+        both_of AS (
+            SELECT k1, k2, c, n, n_close, 0 AS e FROM {counted} WHERE NOT is_end
+            UNION ALL SELECT k1, k2, c, 0 AS n, 0 AS n_close, 1 AS e FROM ends)
+        SELECT k1, k2, c, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n_close) AS DOUBLE) AS s, CAST(sum(e) AS DOUBLE) AS e, {of('k1')} AS g1, {of('k2')} AS g2,
+        CASE WHEN c LIKE '%.' THEN '.' WHEN c LIKE '%?' THEN '?' WHEN {q.matches('c', r'^\p{Lu}')} THEN 'A' WHEN {q.matches('c', r'^\p{L}')} THEN 'w' WHEN {q.matches('c', r'^\p{N}')} THEN '#' ELSE c END AS g3
+        FROM both_of GROUP BY k1, k2, c"""
+
+
+def _judged(counted: str, totals: str, rare: float) -> str:
+    """``doc_id, source, n, cut`` of every text.
+
+    End rates are occurrences at ends to all occurrences, close rates those before a closing
+    mark. Each is estimated from coarse to fine (any token; the last token's class; then the
+    classes of all three for words, the last word with its mark and at last the trigram itself
+    for marks), a finer estimate being drawn to the coarser one as if one more end had been
+    seen at the coarser rate (ten more for words, whose classes tell little); a text's own end
+    is taken off.
+    """
+    own = "(greatest({0} - 1, 0) + 1e0)"
+    return f"""
+        WITH of_classes AS (SELECT g1, g2, g3, sum(n) AS n2, sum(s) AS c2, sum(e) AS e2 FROM {totals} GROUP BY g1, g2, g3),
+        of_class AS (SELECT g3, sum(n2) AS n1, sum(c2) AS c1, sum(e2) AS e1 FROM of_classes GROUP BY g3),
+        of_all AS (SELECT sum(e1) / (sum(n1) + sum(e1)) AS r0, sum(c1) / sum(n1) AS s0 FROM of_class),
+        rates1 AS (SELECT *, {own.format('e1')} / (n1 + e1 + 1e0 / r0) AS r1, (c1 + 1e0) / (n1 + 1e0 / s0) AS s1 FROM (SELECT *, (SELECT r0 FROM of_all) AS r0, (SELECT s0 FROM of_all) AS s0 FROM of_class) o),
+        rates2 AS (SELECT *, (greatest(e2 - 1, 0) + 1e1) / (n2 + e2 + 1e1 / r1) AS r2, (c2 + 1e0) / (n2 + 1e0 / s1) AS s2 FROM of_classes JOIN rates1 USING (g3)),
+        of_last AS (SELECT c, sum(n) AS n3, sum(s) AS c3, sum(e) AS e3 FROM {totals} GROUP BY c HAVING sum(e) > 0),
+        verdicts AS (
+            SELECT k1, k2, c, CASE WHEN g3 IN ('w', 'A', '#') THEN r2 ELSE {own.format('e')} / (n + e + (n3 + e3 + 1e0 / r1) / {own.format('e3')}) END < {rare} * r0 AS cut,
+            n3 = 0 OR (s + 1e0) / (n + (n3 + 1e0 / s2) / (c3 + 1e0)) < {rare} * s0 AS cut_dotted
+            FROM (SELECT * FROM {totals} WHERE e > 0) x JOIN of_last USING (c) JOIN rates2 USING (g1, g2, g3))
+        SELECT doc_id, source, t.n, CASE WHEN dotted THEN cut_dotted ELSE cut END AS cut
+        FROM (SELECT * FROM {counted} WHERE is_end) t JOIN verdicts USING (k1, k2, c)"""
+
+
+def judged(documents: DataFrame, rare: float = 0.6) -> DataFrame:
+    """``doc_id, source, n, cut`` for every non-empty text; ``n`` equal rows come out as one.
+
+    "Almost never terminal" is: at ends less often, by the factor ``rare``, than a trigram is on
+    average. Where dots stand at the end, a sentence may close there: then the trigram counts as
+    almost never terminal if a closing mark follows it that seldom, or if its last word occurs
+    nowhere inside a text.
+
+    Defined results: null and empty texts have no row; end marks and page footers are no part of
+    a text, and one that holds nothing else is not cut; equal texts count once among the ends,
+    and never for themselves; in a corpus too small to tell, a text is not cut.
     """
-    ends = endings(documents)
-    # both counts come from this table; recomputed, the texts would be taken apart twice
-    runs = written(word_runs(documents), "word-runs")
-    trigrams = runs.groupBy("a", "b", "c").agg(F.sum(F.col("n") - F.col("n_ends")).alias("inside"), F.sum("n_ends").alias("at_end"))
-    known = runs.groupBy("word").agg(F.sum("n").alias("seen"), F.sum("n_ends").alias("word_at_end"))
-    rows = ends.join(trigrams, ["a", "b", "c"], "left").join(known, "word", "left")
-    seen = F.coalesce(F.col("inside") + F.col("at_end"), F.lit(0))
-    share = F.when(seen > 0, F.col("at_end") / seen).otherwise(F.coalesce(F.col("word_at_end") / F.col("seen"), F.lit(0.0)))
-    goes_on = F.col("seen").isNull() | (share < rare)
-    flagged = F.when(F.col("dotted"), goes_on & ~F.col("closed")).otherwise(~F.col("closed") & ~F.col("note") & ~F.col("breaks_off") & ~F.col("list") & ~F.col("heading"))
-    return rows.select("doc_id", "source", (F.col("open_note") | flagged).alias("cut"))
+    spark: SparkSession = documents.sparkSession
+    needed = documents.selectExpr("doc_id", "source", "CAST(text AS STRING) AS text")
+    run = lambda sql, **frames: spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("@documents", "{documents}").replace("@counted", "{counted}").replace("@totals", "{totals}"), **frames)
+    # several counts come from these tables; recomputed, the texts would be taken apart each time
+    counted = written(run(_counted(_Spark(), "@documents"), documents=needed), "trigrams")
+    totals = written(run(_totals(_Spark(), "@counted"), counted=counted), "trigram-totals")
+    return run(_judged("@counted", "@totals", rare), counted=counted, totals=totals)
 
 
 def truncated(documents: DataFrame) -> DataFrame:
     """``doc_id`` of every text that was cut."""
-    return judged(documents).filter("cut").select("doc_id")
+    return judged(documents).filter("cut").select("doc_id").distinct()
 
 
 def by_source(documents: DataFrame) -> DataFrame:
     """``source, n_documents, n_cut, share``: cut documents of all documents (empty ones included)."""
-    cut = judged(documents).groupBy("source").agg(F.count_if("cut").alias("n_cut"))
-    all_of = documents.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"))
-    n = F.coalesce(F.col("n_cut"), F.lit(0))
-    return all_of.join(cut, "source", "left").select("source", "n_documents", n.alias("n_cut"), F.round(n / F.col("n_documents"), 6).alias("share"))
+    run = documents.sparkSession.sql
+    return run(_BY_SOURCE.format(documents="{documents}", judged="{judged}"), documents=documents.select("source"), judged=judged(documents))
+
+
+_BY_SOURCE = """
+    SELECT source, n_documents, coalesce(n_cut, 0) AS n_cut, round(CAST(coalesce(n_cut, 0) AS DOUBLE) / n_documents, 6) AS share
+    FROM (SELECT source, count(*) AS n_documents FROM {documents} GROUP BY source) a
+    LEFT JOIN (SELECT source AS s, CAST(sum(n) AS BIGINT) AS n_cut FROM {judged} WHERE cut GROUP BY source) b ON a.source IS NOT DISTINCT FROM b.s"""
+
+
+def twin(rare: float = 0.6) -> dict[str, str]:
+    """The same query as DuckDB runs it, over the view ``documents``."""
+    rows = f"(WITH counted AS MATERIALIZED ({_counted(_Duck(), 'documents')}), totals AS MATERIALIZED ({_totals(_Duck(), 'counted')}), judged AS ({_judged('counted', 'totals', rare)}) SELECT * FROM judged)"
+    return {"truncated": f"SELECT DISTINCT doc_id FROM {rows} WHERE cut", "by_source": _BY_SOURCE.format(documents="documents", judged=rows)}
