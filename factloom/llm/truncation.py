@@ -33,16 +33,15 @@ NOTES = (
 NAMES_START = r"^\s*[\p{Lu}\p{N}]"
 NAMES_LACK = r"(?:^|[^\p{L}\p{N}])\p{Ll}{5,}|\p{L}{2}[.!?…]|[;?!“”«»\x22⟦⟧…]"
 NAME = (r"[\p{L}\p{N}.\x27’]+", "¶")
-# Marks of one kind become one token, as those of the first row become those of the second.
-ALIKE = ("!;–»«„…", "?:—”““.")
+# Marks of one kind become one token.
+ALIKE = (("''", "’"), ("’", "’ "), ("!", "?"), (";", ":"), ("–", "—"), ("»", "”"), ("«", "“"), ("„", "“"), ("…", "."))
 MARKS = (
-    (r"\x27", "’"),
     (r"\x22([\p{L}\p{N}])", r" “ \1"),
     (r"\x22", "”"),
-    (r"(^|[^\p{L}])(\p{Ll})\.(\p{Ll})\.", r"\1\2\3."),
-    (r"’", "’ "),
-    (r"([.?,:—“”])", r" \1 "),
-    (r"[^\p{L}\p{N}.?,:—“”’⟦⟧¶-]+", " "),
+    (r"\.(\p{Ll})\.", r"\1."),
+    (r"[^\p{L}\p{N}.?,:—“”’⟦⟧¶ -]+", " "),
+    (r"([.?,:—“”]) *", r" \1 "),
+    (r" {2,}", " "),
     (r" -+", " "),
 )
 CLASSES = ((r" \p{Lu}[^ ]*", " A"), (r" \p{N}[^ ]*", " #"))
@@ -70,8 +69,9 @@ class _Spark:
         return f"array_join(transform(lines, (x, i) -> {of('x', 'i = 0', 'get(lines, i - 1)')}), ' ')"
 
     positions = """
-        SELECT doc_id, source, h, dotted, inline(arrays_zip(slice(k, 1, n), slice(k, 2, n), slice(t, 2, n), slice(t, 3, n), slice(t, 4, n))) AS (k1, k2, before, t, following)
-        FROM (SELECT *, size(t) - 2 AS n FROM (SELECT doc_id, source, h, dotted, split(s, ' ') AS t, split(classes, ' ') AS k FROM classed))"""
+        SELECT inline(arrays_zip(slice(k, 1, n), slice(k, 2, n), slice(t, 2, n), slice(t, 3, n), slice(t, 4, n), concat(array_repeat(nullif(whose, whose), n - 1), array(whose))))
+        AS (k1, k2, before, t, following, own)
+        FROM (SELECT *, size(t) - 2 AS n FROM (SELECT named_struct('doc_id', doc_id, 'source', source, 'h', h, 'dotted', dotted) AS whose, split(s, ' ') AS t, split(classes, ' ') AS k FROM classed))"""
 
 
 class _Duck(_Spark):
@@ -93,8 +93,8 @@ class _Duck(_Spark):
         return f"array_to_string(list_transform(lines, lambda x, i: {of('x', 'i = 1', 'lines[i - 1]')}), ' ')"
 
     positions = """
-        SELECT doc_id, source, h, dotted, k[i] AS k1, k[i + 1] AS k2, t[i + 1] AS before, t[i + 2] AS t, t[i + 3] AS following
-        FROM (SELECT *, unnest(range(1, len(t) - 1)) AS i FROM (SELECT doc_id, source, h, dotted, string_split(s, ' ') AS t, string_split(classes, ' ') AS k FROM classed))"""
+        SELECT k[i] AS k1, k[i + 1] AS k2, t[i + 1] AS before, t[i + 2] AS t, t[i + 3] AS following, CASE WHEN i = len(t) - 2 THEN whose END AS own
+        FROM (SELECT *, unnest(range(1, len(t) - 1)) AS i FROM (SELECT {'doc_id': doc_id, 'source': source, 'h': h, 'dotted': dotted} AS whose, string_split(s, ' ') AS t, string_split(classes, ' ') AS k FROM classed))"""
 
 
 def _counted(q: _Spark, documents: str) -> str:
@@ -109,23 +109,24 @@ def _counted(q: _Spark, documents: str) -> str:
     def line(x: str, first: str, before: str) -> str:
         return f"CASE WHEN {names(x)} AND ({first} OR {names(before)}) THEN {q.replaced(x, (NAME,))} ELSE {x} END"
 
+    alike = "x"
+    for a, b in ALIKE:
+        alike = f"replace({alike}, '{a}', '{b}')"
     return f"""
         WITH signed AS (SELECT doc_id, source, {q.any_hash}(text) AS h, {q.replaced('text', SIGNS)} AS x FROM {documents} WHERE length(text) > 0),
         stripped AS (SELECT doc_id, source, h, {q.stripped('x', q.blanks[0])} AS core, {q.stripped('x', q.blanks[1])} AS bare FROM signed),
         noted AS (SELECT doc_id, source, h, core LIKE '%…' AND NOT {q.matches('bare', r'[.!?][^\p{L}\p{N}]*$')} AS dotted, {q.replaced('bare', NOTES)} AS bare_notes FROM stripped),
         in_lines AS (SELECT doc_id, source, h, dotted, {q.lines} AS lines FROM noted),
         named AS (SELECT doc_id, source, h, dotted, {q.per_line(line)} AS x FROM in_lines),
-        marked AS (SELECT doc_id, source, h, dotted, {q.replaced(f"translate(x, '{ALIKE[0]}', '{ALIKE[1]}')", MARKS)} AS x FROM named),
+        marked AS (SELECT doc_id, source, h, dotted, {q.replaced(alike, MARKS)} AS x FROM named),
         tokens AS (SELECT doc_id, source, h, dotted, trim('^ ^ ' || trim(x)) AS s FROM marked),
         classed AS (SELECT *, {q.replaced('s', CLASSES)} AS classes FROM tokens),
         positions AS ({q.positions}),
         trigrams AS (
-            SELECT k1, k2, CASE WHEN t IN ('.', '?') THEN before || t ELSE t END AS c, following IS NULL AS is_end, following IN ('.', '?') AS closes,
-            CASE WHEN following IS NULL THEN doc_id END AS doc_id, CASE WHEN following IS NULL THEN source END AS source, CASE WHEN following IS NULL THEN h END AS h,
-            following IS NULL AND dotted AS dotted
-            FROM positions WHERE following IS NULL OR k1 <> k2 OR before <> t OR lower(t) = upper(t))
-        SELECT k1, k2, c, is_end, doc_id, source, h, dotted, count(*) AS n, count(CASE WHEN closes THEN 1 END) AS n_close
-        FROM trigrams GROUP BY k1, k2, c, is_end, doc_id, source, h, dotted"""
+            SELECT k1, k2, CASE WHEN t IN ('.', '?') THEN before || t ELSE t END AS c, own, following IN ('.', '?') AS closes
+            FROM positions WHERE t IS NOT NULL AND (following IS NULL OR k1 <> k2 OR before <> t OR lower(t) = upper(t)))
+        SELECT k1, k2, c, own IS NOT NULL AS is_end, own.doc_id AS doc_id, own.source AS source, own.h AS h, own.dotted AS dotted, n, n_close
+        FROM (SELECT k1, k2, c, own, count(*) AS n, count(CASE WHEN closes THEN 1 END) AS n_close FROM trigrams GROUP BY k1, k2, c, own) g"""
 
 
 def _totals(q: _Spark, counted: str) -> str:
