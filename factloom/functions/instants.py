@@ -25,17 +25,14 @@ _DATE = "|".join(
     )
 )
 _CLOCK = r"(?:(?:t|,? +|(?<=^\d{8})))(\d{1,2}):?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?(?: ?([ap])\.?m\.?(?![a-z]))?"
-_ZONE = r" *(?:\(?(z|(?:utc|gmt)? ?[+-]\d{1,2}(?::?\d{2})?|[a-z][a-z_]+(?:/[a-z0-9_+-]+)*)\)?)?"
+_ZONE = r" *(?:\(?(z|(?:utc|gmt)? ?[+-]\d{1,2}(?::?\d{2})?|[a-z][a-z_]+(?:/[a-z0-9_+-]+){0,2})\)?)?"
 PATTERN = rf"(?i)^(?:{_DATE})(?:{_CLOCK})?{_ZONE}$"
 _PIECES = "$1$6$9$12$13|$2$8$10$14|$3$7$11$15|$4|$5|$16|$17|$18|$19|$20|$21|"
 
 COUNT = r"^\d{5,19}(?:[.,]\d+)?$"
-ZONED = r"(?i)(?:\d *z|[+-]\d{1,2}(?::?\d{2})?|[a-z]{2,}\)?|/[a-z0-9_+-]+)$"
+ZONED = r"(?i)(?:\d *z|[+-]\d{1,2}(?::?\d{2})?|[a-z]{2}\)?|/[a-z0-9_+-]+)$"
 MERIDIEM = r"(?i)\d ?[ap]\.?m\.?$"
 
-# No form of a time is longer; longer texts are not matched (the JVM's matcher recurses).
-MOST_CHARS = 100
-
 # Milliseconds of one unit, as numerator and denominator; the order is of no importance: at
 # most one unit puts a count into a window of a year.
 UNITS = ((86_400_000, 1), (3_600_000, 1), (60_000, 1), (1_000, 1), (1, 1), (1, 1_000), (1, 1_000_000))
@@ -67,13 +64,14 @@ def _apart(c: Column) -> Column:
 
 
 def _count_ms(whole: Column, nanos: Column, window: tuple[int, int]) -> Column:
+    """A count of any unit in ms, in 64-bit integers throughout."""
     out = None
     for per, parts in UNITS:
         low, high = window[0] * parts // per, -(-window[1] * parts // per)
         if parts > 1:
-            ms = (whole - whole % F.lit(parts)) / F.lit(parts)
+            ms = F.call_function("div", whole, F.lit(parts))
         else:
-            ms = whole * F.lit(per) + F.floor(nanos * F.lit(per) / F.lit(1_000_000_000))
+            ms = whole * F.lit(per) + F.call_function("div", nanos * F.lit(per), F.lit(1_000_000_000))
         hit = (whole >= low) & (whole < high)
         out = F.when(hit, ms.cast("bigint")) if out is None else out.when(hit, ms.cast("bigint"))
     return out
@@ -93,8 +91,9 @@ def with_instant(
     ``text`` names the column of raw text, ``tz`` that of the wall clock's IANA zone, and
     ``date_order`` that of ``dmy`` or ``mdy`` (used only for numeric day and month before the
     year). ``zone_offsets`` gives minutes east of UTC by abbreviation. ``window`` bounds the
-    instants (first and last, exclusive, in ms); a count of time units takes the unit that puts
-    it there.
+    instants (first and last, exclusive, in ms): a count of time units takes the unit that puts
+    it there, and of a wall clock either the instant or the time as written lies there (the
+    first midnight of a year comes earlier in UTC east of it).
 
     Defined results: null, empty, placeholder text, an unknown zone, a day or time of day that
     does not exist, a wall clock without a known zone, and an instant outside the window give
@@ -110,7 +109,7 @@ def with_instant(
         F.when(point > 0, F.rpad(F.col(trimmed).substr(point + 1, F.lit(9)), 9, "0").cast("bigint")).otherwise(0).alias("nanos"),
     )
     df = df.withColumn(f"{p}_c", F.when(F.col(trimmed).rlike(COUNT), number))
-    df = df.withColumn(pieces, F.when((F.length(trimmed) <= MOST_CHARS) & F.col(trimmed).rlike(r"\d"), F.split(_apart(F.regexp_replace(F.col(trimmed), PATTERN, _PIECES)), r"\|")))
+    df = df.withColumn(pieces, F.when(F.col(trimmed).rlike(r"\d"), F.split(_apart(F.regexp_replace(F.col(trimmed), PATTERN, _PIECES)), r"\|")))
     at = lambda i: F.try_element_at(F.col(pieces), F.lit(i + 1))
     # only digits are cast: a failing try_cast is an exception raised and caught
     num = lambda c: F.when(F.length(c).between(1, 9), c).cast("int")
@@ -164,5 +163,6 @@ def with_instant(
     count = F.when(F.col(f"{p}_c").isNotNull(), _count_ms(F.col(f"{p}_c.whole"), F.col(f"{p}_c.nanos"), window or YEAR_2024))
     df = df.withColumn(out, F.coalesce(count, _apart(clock + n("milli"))))
     if window:
-        df = df.withColumn(out, F.when(F.col(out).between(window[0], window[1] - 1), F.col(out)))
+        inside = lambda c: c.between(window[0], window[1] - 1)
+        df = df.withColumn(out, F.when(inside(F.col(out)) | F.coalesce(inside(F.unix_millis(w("wall"))), F.lit(False)), F.col(out)))
     return df.drop(trimmed, pieces, f"{p}_c", f"{p}_n", f"{p}_w")

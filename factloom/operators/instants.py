@@ -7,15 +7,19 @@ and joined back to the rows. A later call parses only values the table does not
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.instants import MOST_CHARS, YEAR_2024, blank_trim, context_free, with_instant
-from factloom.shared import bounded_rows, exists, fresh_path
+from factloom.functions.instants import YEAR_2024, blank_trim, context_free, with_instant
+from factloom.shared import bounded_rows, entries, fresh_path
 
 SCHEMA = "raw string, tz string, date_order string, utc_ms bigint"
+KEY = ["raw", "tz", "date_order"]
+# To be raised with every change of the parser, so that kept dictionaries are not mixed up.
+PARSER = 2
 
 
 def reading_context(rows: DataFrame, origin: str, origins: DataFrame) -> DataFrame:
@@ -34,16 +38,25 @@ def zone_table(zone_names: DataFrame | None, limit: int = 1_000) -> dict[str, in
 
 
 class InstantDictionary:
-    """Distinct raw times with their instants, one folder of Parquet files per batch."""
+    """Distinct raw times with their instants, one folder of Parquet files per batch.
+
+    Under ``path`` every set of rules (parser, zone table, window) has a folder of its own, so a
+    value read under other rules is parsed again.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, zone_offsets: dict[str, int] | None = None, window=YEAR_2024):
         self.spark, self.zone_offsets, self.window = spark, zone_offsets or {}, window
-        self.path = path or fresh_path(spark, "instants")
+        rules = hashlib.sha256(repr((PARSER, sorted(self.zone_offsets.items()), window)).encode()).hexdigest()[:16]
+        self.path = f"{path or fresh_path(spark, 'instants')}/rules={rules}"
 
     def read(self) -> DataFrame:
-        if not exists(self.spark, self.path):
+        """Every value once: of several batches, two may hold the same one where they were
+        written at the same time."""
+        batches = entries(self.spark, self.path)
+        if not batches:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/batch=*")
+        d = self.spark.read.schema(SCHEMA).parquet(*batches)
+        return d if len(batches) == 1 else d.groupBy(*KEY).agg(F.max("utc_ms").alias("utc_ms"))
 
     @staticmethod
     def keyed(rows: DataFrame, text: Column, tz: Column, date_order: Column) -> DataFrame:
@@ -53,7 +66,7 @@ class InstantDictionary:
         none = F.lit("")
         return rows.select(
             *[c for c in rows.columns if c != "raw"],
-            F.when((F.length("raw") <= MOST_CHARS) & F.col("raw").rlike(r"\d{4,}"), F.col("raw")).alias("raw"),
+            F.when(F.col("raw").rlike(r"\d{4}"), F.col("raw")).alias("raw"),
             F.when(free, none).otherwise(F.coalesce(tz, none)).alias("key_tz"),
             F.when(free, none).otherwise(F.coalesce(date_order, none)).alias("key_order"),
         )
@@ -61,21 +74,21 @@ class InstantDictionary:
     def update(self, keyed: DataFrame) -> None:
         """Parse the values of ``keyed`` (raw, key_tz, key_order) that the dictionary lacks."""
         new = keyed.filter(F.col("raw").isNotNull()).select("raw", F.col("key_tz").alias("tz"), F.col("key_order").alias("date_order")).distinct()
-        if exists(self.spark, self.path):
-            new = new.join(self.read(), ["raw", "tz", "date_order"], "left_anti")
+        if entries(self.spark, self.path):
+            new = new.join(self.read(), KEY, "left_anti")
         parsed = with_instant(new, "raw", "tz", "date_order", zone_offsets=self.zone_offsets, window=self.window)
         parsed.write.parquet(f"{self.path}/batch={uuid.uuid4().hex}")
 
     def join(self, keyed: DataFrame, *columns: str) -> DataFrame:
         """``columns`` of the keyed rows with ``utc_ms``; rows without an instant are left out.
 
-        Values are unique in the dictionary, so its side of the join is even; a text that a
-        large share of the rows holds skews only the streamed side, whose oversized partitions
-        adaptive execution splits.
+        Both sides are sorted, so neither has to fit in memory. Values are unique in the
+        dictionary, so its side of the join is even; a text that a large share of the rows holds
+        skews only the other side, whose oversized partitions adaptive execution splits.
         """
         d = self.read().filter(F.col("utc_ms").isNotNull())
         rows = keyed.filter(F.col("raw").isNotNull()).select(*columns, "raw", F.col("key_tz").alias("tz"), F.col("key_order").alias("date_order"))
-        return rows.join(d.hint("shuffle_hash"), ["raw", "tz", "date_order"]).select(*columns, "utc_ms")
+        return rows.join(d.hint("merge"), KEY).select(*columns, "utc_ms")
 
 
 def instants(sources: dict[str, tuple[DataFrame, str, str]], origins: DataFrame, zone_names: DataFrame | None = None, path: str | None = None) -> DataFrame:

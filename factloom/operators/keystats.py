@@ -4,12 +4,14 @@ Every task dictionary-encodes the keys of its own split of the input and adds th
 dense arrays (``numpy.bincount``), so a key with a third of all rows costs each task one array
 slot. The arrays leave a task cut into blocks by a hash of the key; the blocks of one number
 are summed wherever they meet, again by scatter-add. A key travels at most once per split and
-flush, whatever its number of rows.
+flush, whatever its number of rows. Squares are summed around the mean, so that deviations
+stay right where values are large.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -17,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PARTIAL = "field int, block int, keys array<string>, n_rows array<bigint>, n array<bigint>, s array<double>, q array<double>"
-MERGED = "field int, key_value string, n_rows bigint, n bigint, s double, q double"
+PARTIAL = "field int, block int, keys array<string>, n_rows array<bigint>, n array<bigint>, s array<double>, m2 array<double>"
+MERGED = "field int, key_value string, n_rows bigint, n bigint, s double, m2 double"
 
 
 class _Dense:
-    """Dense arrays over a local dictionary of keys; null is a key of its own."""
+    """Dense arrays over a local dictionary of keys (null is a key of its own): rows, values, their
+    sum, and the sum of their squared distances from the mean."""
 
     def __init__(self) -> None:
         self.keys = pa.array([], pa.string())
@@ -31,15 +34,13 @@ class _Dense:
     def add(self, keys: pa.Array, values: list[np.ndarray]) -> None:
         both = pa.concat_arrays([self.keys, keys]).dictionary_encode(null_encoding="encode")
         codes, size = both.indices.to_numpy(zero_copy_only=False), len(both.dictionary)
-        old = len(self.keys)
-        for i, (kept, new) in enumerate(zip(self.sums, values, strict=True)):
-            out = np.zeros(size, kept.dtype)
-            out[codes[:old]] = kept
-            if kept.dtype == np.int64:
-                np.add.at(out, codes[old:], new)
-            else:
-                out += np.bincount(codes[old:], weights=new, minlength=size)
-            self.sums[i] = out
+        rows, n, s, m2 = (np.concatenate([kept, new]) for kept, new in zip(self.sums, values, strict=True))
+        total = lambda w: np.bincount(codes, weights=w, minlength=size)
+        # (counts are exact as doubles: a task has fewer than 2^53 rows)
+        n_of, s_of = total(n), total(s)
+        mean = s_of / np.maximum(n_of, 1)
+        off = s / np.maximum(n, 1) - mean[codes]
+        self.sums = [total(rows).astype(np.int64), n_of.astype(np.int64), s_of, total(m2 + n * off * off)]
         self.keys = both.dictionary
 
     def __len__(self) -> int:
@@ -65,7 +66,7 @@ def _partials(n_fields: int, blocks: int, chunk: int, most: int):
             v = _one(t.column(n_fields)).to_numpy(zero_copy_only=False).astype(np.float64)
             there = ~np.isnan(v)
             v = np.where(there, v, 0.0)
-            values = [np.ones(len(v), np.int64), there.astype(np.int64), v, v * v]
+            values = [np.ones(len(v), np.int64), there.astype(np.int64), v, np.zeros(len(v))]
             for f in range(n_fields):
                 dense[f].add(_one(t.column(f)), values)
 
@@ -81,7 +82,7 @@ def _partials(n_fields: int, blocks: int, chunk: int, most: int):
             cut = lambda a: pa.ListArray.from_arrays(offsets, a)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(numbers), f, np.int32)), pa.array(numbers), cut(d.keys.take(pa.array(order)))] + [cut(pa.array(x[order])) for x in d.sums],
-                names=["field", "block", "keys", "n_rows", "n", "s", "q"],
+                names=["field", "block", "keys", "n_rows", "n", "s", "m2"],
             )
             dense[f] = _Dense()
 
@@ -127,13 +128,14 @@ def _merge(n_fields: int, chunk: int):
             for at in range(0, len(d), 100_000):
                 x = slice(at, at + 100_000)
                 keys = d.keys[x]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), f, np.int32)), keys] + [pa.array(v[x]) for v in d.sums], names=["field", "key_value", "n_rows", "n", "s", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), f, np.int32)), keys] + [pa.array(v[x]) for v in d.sums], names=["field", "key_value", "n_rows", "n", "s", "m2"])
 
     return run
 
 
 def key_sums(df: DataFrame, keys: Sequence[str], value: str, blocks: int | None = None, chunk: int = 500_000, most: int = 500_000) -> DataFrame:
-    """Rows, non-null values, sum and sum of squares for each key of each field.
+    """Rows, non-null values, their sum and sum of squared distances from the mean (``m2``) for
+    each key of each field.
 
     ``keys`` are the key columns, each aggregated by itself; the result has a row per field and
     key, with the null key as a row of its own. ``chunk`` rows are encoded at a time and a task
@@ -159,17 +161,18 @@ def key_stats(df: DataFrame, keys: Sequence[str], value: str, **how) -> DataFram
 
 
 def _present(sums: DataFrame) -> DataFrame:
-    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    n = F.col("n")
     some = lambda c: F.when(n > 0, c)
-    return sums.filter(F.col("key_value").isNotNull()).select(
-        "field", "key_value", "n_rows", n.alias("n_values"), some(s / n).alias("mean"), some(F.sqrt(F.greatest(F.lit(0.0), q / n - (s / n) * (s / n)))).alias("stddev")
-    )
+    return sums.filter(F.col("key_value").isNotNull()).select("field", "key_value", "n_rows", n.alias("n_values"), some(F.col("s") / n).alias("mean"), some(F.sqrt(F.col("m2") / n)).alias("stddev"))
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.025, **how) -> DataFrame:
     """The rows of ``key_stats`` whose key holds at least ``share`` of all rows of ``df``.
 
-    All rows count, also those whose key is null; an empty table has no heavy keys.
+    All rows count, also those whose key is null; an empty table has no heavy keys. The number
+    of rows comes from the sums of the first field, whose shuffled blocks are read again; the
+    table itself is read once.
     """
-    total: Column = df.agg(F.count(F.lit(1))).scalar()
-    return _present(key_sums(df, keys, value, **how)).filter(F.col("n_rows") >= F.lit(str(share)).cast("decimal(9,6)") * total)
+    sums = key_sums(df, keys, value, **how)
+    total: Column = sums.filter(F.col("field") == keys[0]).agg(F.sum("n_rows")).scalar()
+    return _present(sums).filter(F.col("n_rows") >= F.lit(Decimal(str(share))) * total)

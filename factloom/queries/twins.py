@@ -34,9 +34,9 @@ def instants(rows: str, name: str = "inst") -> str:
                 -- of a wall clock that occurs twice, the first
                 CASE WHEN timezone(region, make_timestamptz((late - 3600000) * 1000)) = wall THEN late - 3600000
                     WHEN timezone(region, make_timestamptz((late - 1800000) * 1000)) = wall THEN late - 1800000 ELSE late END)
-                + CASE WHEN frac = '' THEN 0 ELSE CAST(left(frac || '000', 3) AS INTEGER) END) AS utc_ms
+                + CASE WHEN frac = '' THEN 0 ELSE CAST(left(frac || '000', 3) AS INTEGER) END) AS utc_ms, year(wall) AS written_in
             FROM {name}_at),
-        {name} AS (SELECT table_name, row_id, CAST(utc_ms AS BIGINT) AS utc_ms FROM {name}_all WHERE utc_ms >= 1704067200000 AND utc_ms < 1735689600000)"""
+        {name} AS (SELECT table_name, row_id, CAST(utc_ms AS BIGINT) AS utc_ms FROM {name}_all WHERE (utc_ms >= 1704067200000 AND utc_ms < 1735689600000) OR written_in = 2024)"""
 
 
 RATINGS = "SELECT 'ratings' AS table_name, rating_id AS row_id, timestamp AS text, origin FROM ratings"

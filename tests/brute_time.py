@@ -76,4 +76,5 @@ def to_ms(text, tz, order, abbreviations):
         # fold=0: the first of two occurrences; in a gap, the offset before it
         at = wall.replace(tzinfo=timezone.utc) - wall.replace(tzinfo=zone, fold=0).utcoffset()
     ms = int((at - datetime(1970, 1, 1, tzinfo=timezone.utc)) / timedelta(milliseconds=1)) + int(((m[4] or "") + "000")[:3])
-    return ms if LOW <= ms < HIGH else None
+    # the first midnight of the year lies before it in UTC where clocks are ahead
+    return ms if LOW <= ms < HIGH or wall.year == 2024 else None

@@ -1,3 +1,6 @@
+import glob
+import shutil
+
 import pytest
 from brute_time import to_ms
 
@@ -38,6 +41,17 @@ CASES = [
     ("2024-01-02 03:04:05", None, None),
     ("2024-01-02 03:04:05 Mars/Base", "utc", None),
     ("2023-01-02 03:04:05", "utc", None),
+    ("2024-01-01", "paris", 1704063600000),  # the year's first midnight there is in 2023 in UTC
+    ("2023-12-31", "paris", None),
+    ("2024-03-01T00:00:00." + "0" * 90 + "Z", None, 1709251200000),
+    ("2024-03-01T00:00:00.123" + "9" * 50_000 + "Z", None, 1709251200123),
+    ("2024-03-01" + " " * 95 + "10:00:00", "utc", 1709287200000),
+    (" " * 100_000 + "2024-03-01" + " " * 100_000, "utc", 1709251200000),
+    ("1704067200002000000", None, 1704067200002),
+    ("1704067200010000000", None, 1704067200010),
+    ("1704067200010000", None, 1704067200010),
+    ("19723.999999999", None, 1704153599999),
+    ("x" * 100_000 + "2024 ", "utc", None),
     ("pending", "utc", None), ("\\N", "utc", None), ("", "utc", None), (None, "utc", None), ("x" * 100_000, "utc", None), ("1" * 5_000, "utc", None), ("2024-01-02 03:04 a" + "/a" * 100_000, "utc", None),
 ]
 
@@ -67,6 +81,27 @@ def test_dictionary_grows_by_new_values_only(spark, tables):
     assert d.join(keyed, "t").count() == 3
 
 
+def test_a_kept_dictionary_holds_for_its_rules_only(spark, tables, tmp_path):
+    rows = spark.createDataFrame([("2024-01-02 03:04:05 XYZ", "UTC", "dmy")], "t string, tz string, o string")
+    got = []
+    for minutes in (60, 120, 60):
+        d = InstantDictionary(spark, str(tmp_path), {"XYZ": minutes})
+        keyed = d.keyed(rows, F.col("t"), F.col("tz"), F.col("o"))
+        d.update(keyed)
+        got.append(d.join(keyed, "t").first().utc_ms)
+    assert got == [1704161045000, 1704157445000, 1704161045000]
+
+
+def test_values_written_twice_at_once_join_once(spark, tables, tmp_path):
+    one, two = InstantDictionary(spark, str(tmp_path), {}), InstantDictionary(spark, str(tmp_path / "other"), {})
+    rows = spark.createDataFrame([("2024-01-02 03:04:05", "UTC", "dmy")] * 3, "t string, tz string, o string")
+    keyed = one.keyed(rows, F.col("t"), F.col("tz"), F.col("o"))
+    one.update(keyed)
+    two.update(keyed)
+    shutil.move(glob.glob(f"{two.path}/batch=*")[0], one.path)
+    assert one.read().count() == 1 and one.join(keyed, "t").count() == 3
+
+
 def test_empty_table(spark, tables):
     rows = spark.createDataFrame([], "id long, time string, origin string")
     assert instants({"t": (rows, "id", "time")}, *tables).collect() == []

@@ -51,3 +51,23 @@ def test_extra_and_clashing_columns_do_not_matter(spark):
     df = spark.createDataFrame([("a", "m", 4, "x", 1), ("a", None, 2, "y", 2)], "user_id string, movie_id string, rating int, field string, n long")
     got = {(r.field, r.key_value): (r.n_rows, r.mean) for r in keystats.key_stats(df, ["movie_id", "user_id"], "rating").collect()}
     assert got == {("movie_id", "m"): (1, 4.0), ("user_id", "a"): (2, 3.0)}
+
+
+def test_deviation_of_large_values(spark):
+    df = spark.createDataFrame([(k, "m", 1e9 + v) for v in (0, 1, 2) for k in ("a", "b")] * 3, "user_id string, movie_id string, rating double").repartition(4)
+    for how in ({}, {"chunk": 2, "most": 1}):
+        got = {(r.field, r.key_value): r.stddev for r in keystats.key_stats(df, ["movie_id", "user_id"], "rating", **how).collect()}
+        assert got == {k: pytest.approx(math.sqrt(2 / 3), rel=1e-9) for k in (("movie_id", "m"), ("user_id", "a"), ("user_id", "b"))}
+
+
+def test_shares_below_a_millionth(spark):
+    df = spark.range(1000).selectExpr("'u' AS user_id", "CAST(id AS STRING) AS movie_id", "1 AS rating")
+    assert keystats.heavy_keys(df, ["movie_id", "user_id"], "rating", share=1e-7).count() == 1001
+    assert keystats.heavy_keys(df, ["user_id", "movie_id"], "rating", share=0.0010001).count() == 1
+
+
+def test_heavy_keys_read_the_table_once(spark):
+    df = spark.range(1000).selectExpr("'u' AS user_id", "CAST(id AS STRING) AS movie_id", "1 AS rating")
+    found = keystats.heavy_keys(df, ["movie_id", "user_id"], "rating")
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
