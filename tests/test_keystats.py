@@ -54,10 +54,11 @@ def test_extra_and_clashing_columns_do_not_matter(spark):
 
 
 def test_deviation_of_large_values(spark):
+    # (neighbouring doubles at 1e9 are 1.2e-7 apart)
     df = spark.createDataFrame([(k, "m", 1e9 + v) for v in (0, 1, 2) for k in ("a", "b")] * 3, "user_id string, movie_id string, rating double").repartition(4)
     for how in ({}, {"chunk": 2, "most": 1}):
         got = {(r.field, r.key_value): r.stddev for r in keystats.key_stats(df, ["movie_id", "user_id"], "rating", **how).collect()}
-        assert got == {k: pytest.approx(math.sqrt(2 / 3), rel=1e-9) for k in (("movie_id", "m"), ("user_id", "a"), ("user_id", "b"))}
+        assert got == {k: pytest.approx(math.sqrt(2 / 3), rel=1e-7) for k in (("movie_id", "m"), ("user_id", "a"), ("user_id", "b"))}
 
 
 def test_shares_below_a_millionth(spark):
