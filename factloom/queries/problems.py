@@ -74,39 +74,71 @@ def p6_event_types(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, *t) for i, t in enumerate(types)], "position int, origin string, rating int")
 
 
-def p7_wide_values(spark: SparkSession, d: str) -> DataFrame:
-    """Some of the wide table's columns of either kind, where any is set."""
-    names = ["USER_AGE", "USER_IS_VERIFIED", "USER_SEGMENT", "USER_JOIN_DATE", "MOVIE_RATING_COUNT"]
-    return p7_wide(spark, d).select("entity", *[F.col(n).alias(n.lower()) for n in names]).dropna("all", subset=[n.lower() for n in names])
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    return instants.with_utc(table(spark, d, "eavt"), "time", table(spark, d, "origins"), table(spark, d, "zone_names"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return widetable.misfits(table(spark, d, "eavt"), table(spark, d, "feature_metadata")).select("entity", "attribute")
+    return widetable.misfits(_facts(spark, d), table(spark, d, "feature_metadata")).select("entity", "attribute")
 
 
 def p7_wide(spark: SparkSession, d: str) -> DataFrame:
-    facts = instants.with_utc(table(spark, d, "eavt"), "time", table(spark, d, "origins"), table(spark, d, "zone_names"))
-    return widetable.wide_table(facts, table(spark, d, "feature_metadata"))
+    return widetable.wide_table(_facts(spark, d), table(spark, d, "feature_metadata"), beyond="decimals_beyond")
+
+
+def p7_wide_values(spark: SparkSession, d: str) -> DataFrame:
+    """The whole wide table: times as milliseconds since 1970, decimals as doubles."""
+    w = p7_wide(spark, d).drop("decimals_beyond")
+    plain = {"timestamp": lambda c: F.unix_millis(c), "decimal(38,18)": lambda c: F.round(c.cast("double"), 6), "double": lambda c: F.round(c, 9)}
+    return w.select(*[plain.get(t, lambda c: c)(F.col(n)).alias(n.lower()) for n, t in w.dtypes])
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_key_stats, p2_found, p3_rolling, p4_found, p4_valid_rows, p5_distinct_counts, p5_partials, p6_features, p6_feature_rows, p6_event_types, p7_found, p7_wide, p7_wide_values)}
 
+# The attributes of feature_metadata by their declared type.
+_GENRES = "action adventure animation childrens comedy crime documentary drama fantasy filmnoir horror musical mystery romance scifi thriller war western".split()
+ATTRIBUTES = {
+    "integral": [f"user_{g}_ratings" for g in _GENRES] + ["user_age", "user_total_ratings", "user_account_number", "movie_rating_count"],
+    "floatingpoint": [f"user_{g}_avg" for g in _GENRES if g not in ("filmnoir", "western")] + ["user_rating_stddev", "user_recency_score", "movie_avg_rating", "rating_standard_deviation", "comedy_movie_avg_rating"],
+    "decimal": ["user_credit", "user_spend", "user_last_invoice", "movie_box_office"],
+    "date": ["user_join_date", "user_birth_date", "user_renewal_date", "movie_release_date"],
+    "time": ["user_last_seen", "user_first_rating"],
+    "bool": ["user_is_verified", "user_is_tall_screen", "user_has_consent", "movie_is_comedy"],
+    "str": ["user_occupation", "user_segment", "user_zipcode", "user_note", "movie_title"],
+}
+# Of each type, what a value has to be, and the value as p7_wide_values gives it.
+_FITS = {
+    "str": "true",
+    "integral": "regexp_full_match(v, '[+-]?[0-9]+') AND try_cast(v AS BIGINT) IS NOT NULL",
+    "decimal": "regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)?(E[+-]?[0-9]+)?')",
+    "floatingpoint": "regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)?(E[+-]?[0-9]+)?|NaN|[+-]?Infinity')",
+    "bool": "lower(v) IN ('true', 'false')",
+    "date": "regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(v AS DATE) IS NOT NULL",
+    "time": "regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9][.][0-9]{3}[+-]([01][0-9]|2[0-3]):[0-5][0-9]') AND try_cast(substr(v, 1, 10) AS DATE) IS NOT NULL",
+}
+_FIT = "CASE value_type " + " ".join(f"WHEN '{t}' THEN {c}" for t, c in _FITS.items()) + " END"
+_VALUES = {
+    "str": "{}",
+    "integral": "CAST({} AS BIGINT)",
+    "decimal": "round(CAST(TRY_CAST({} AS DECIMAL(38, 18)) AS DOUBLE), 6)",
+    "floatingpoint": "round(CAST({} AS DOUBLE), 9)",
+    "bool": "CAST({} AS BOOLEAN)",
+    "date": "CAST({} AS DATE)",
+    "time": "epoch_ms(CAST({} AS TIMESTAMPTZ))",
+}
+
+
 def _wide_twin() -> str:
-    columns = {"user_age": "BIGINT", "user_is_verified": "BOOLEAN", "user_segment": "VARCHAR", "user_join_date": "DATE", "movie_rating_count": "BIGINT"}
-    cells = ", ".join(f"CAST(max(CASE WHEN a = '{c}' THEN v END) AS {t}) AS {c}" for c, t in columns.items())
-    set_ = " OR ".join(f"{c} IS NOT NULL" for c in columns)
+    latest = "max(CASE WHEN a = '{}' THEN v END)"
+    cells = ", ".join(f"{_VALUES[t].format(latest.format(c))} AS {c}" for t, names in ATTRIBUTES.items() for c in names)
     return f"""
         WITH {twins.instants(twins.EAVT)},
         facts AS (
-            SELECT entity, lower(trim(attribute)) AS a, CASE WHEN value <> '\\N' THEN trim(value, ' ') END AS v, coalesce(utc_ms, -1) AS moment, fact_id FROM eavt LEFT JOIN inst ON fact_id = row_id
-            WHERE lower(trim(attribute)) IN ({', '.join(f"'{c}'" for c in columns)})),
-        fit AS (
-            SELECT * FROM facts WHERE v IS NULL OR CASE a WHEN 'user_is_verified' THEN lower(v) IN ('true', 'false') WHEN 'user_segment' THEN true
-            WHEN 'user_join_date' THEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_cast(v AS DATE) IS NOT NULL
-            ELSE regexp_full_match(v, '[+-]?[0-9]+') AND try_cast(v AS BIGINT) IS NOT NULL END),
-        latest AS (SELECT entity, a, v FROM (SELECT *, row_number() OVER (PARTITION BY entity, a ORDER BY moment DESC, fact_id DESC) AS k FROM fit) WHERE k = 1),
-        wide AS (SELECT entity, {cells} FROM latest GROUP BY entity)
-        SELECT * FROM wide WHERE {set_}"""
+            SELECT entity, lower(m.attribute) AS a, value_type, CASE WHEN value <> '\\N' THEN trim(value, ' ') END AS v, coalesce(utc_ms, -1) AS moment, fact_id
+            FROM eavt e JOIN feature_metadata m ON lower(trim(e.attribute)) = lower(m.attribute) LEFT JOIN inst ON fact_id = row_id),
+        latest AS (SELECT entity, a, v FROM (SELECT *, row_number() OVER (PARTITION BY entity, a ORDER BY moment DESC, fact_id DESC) AS k FROM facts WHERE v IS NULL OR {_FIT}) WHERE k = 1),
+        every AS (SELECT DISTINCT entity FROM eavt)
+        SELECT every.entity, {cells} FROM every LEFT JOIN latest ON every.entity = latest.entity GROUP BY every.entity"""
 
 
 ORACLES = {
@@ -149,14 +181,6 @@ ORACLES = {
             SELECT e.entity, m.attribute, m.value_type, trim(e.value, ' ') AS v
             FROM eavt e JOIN feature_metadata m ON lower(trim(e.attribute)) = lower(m.attribute)
             WHERE e.value IS NOT NULL AND e.value <> '\\N')
-        SELECT DISTINCT entity, attribute FROM v WHERE NOT CASE value_type
-            WHEN 'str' THEN true
-            WHEN 'integral' THEN regexp_full_match(v, '[+-]?[0-9]+') AND try_cast(v AS BIGINT) IS NOT NULL
-            WHEN 'decimal' THEN regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)?(E[+-]?[0-9]+)?')
-            WHEN 'floatingpoint' THEN regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)?(E[+-]?[0-9]+)?|NaN|[+-]?Infinity')
-            WHEN 'bool' THEN lower(v) IN ('true', 'false')
-            WHEN 'date' THEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(v AS DATE) IS NOT NULL
-            WHEN 'time' THEN regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9][.][0-9]{3}[+-]([01][0-9]|2[0-3]):[0-5][0-9]')
-                AND try_cast(substr(v, 1, 10) AS DATE) IS NOT NULL
-            END""",
+        SELECT DISTINCT entity, attribute FROM v WHERE NOT """
+    + _FIT,
 }

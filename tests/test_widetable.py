@@ -75,3 +75,24 @@ def test_attributes_declared_twice_or_null(spark):
     meta = spark.createDataFrame([("AGE", "integral"), ("age ", "str"), (None, "str"), ("X", None), ("ODD", "blob")], "attribute string, value_type string")
     df = widetable.wide_table(spark.createDataFrame([("a", "Age", "5", 1, 1, ""), (None, "AGE", "5", 1, 1, ""), ("a", None, "5", 1, 1, ""), ("a", "x", "5", 1, 1, "")], FACTS), meta)
     assert [tuple(r) for r in df.collect()] == [("a", 5)] and df.columns == ["entity", "AGE"]
+
+
+def test_decimals_that_do_not_fit_keep_their_text(spark, meta):
+    texts = {"a": "1E30", "b": "0.1234567890123456789", "c": "12345678901234567890", "d": "123456789012345678901", "e": "1E-999999999", "f": "1E99999999999", "g": "5.10E+2", "h": "-0.123456789012345678000"}
+    df = widetable.wide_table(spark.createDataFrame([(e, "CREDIT", v, 1, 1, "") for e, v in texts.items()], FACTS), meta, beyond="texts")
+    rows = {r.entity: (r.CREDIT, r.texts) for r in df.collect()}
+    lost = {"a", "b", "d", "e", "f"}
+    assert {e: t for e, (_, t) in rows.items()} == {e: {"CREDIT": v} if e in lost else {} for e, v in texts.items()}
+    assert {e: c for e, (c, _) in rows.items() if c is not None} == {"c": Decimal("12345678901234567890"), "g": Decimal(510), "h": Decimal("-0.123456789012345678")}
+
+
+def test_misfits_come_from_the_builders_beside_the_cells(spark, meta):
+    facts = [("hot", "AGE", f"x{i}", i, i, "") for i in range(2_000)] + [("hot", "AGE", "7", 5, 5, ""), ("hot", "OK", "maybe", 1, 1, ""), ("b", "AGE", "8", 1, 1, ""), (None, "AGE", "x", 1, 1, "")]
+    df = spark.createDataFrame(facts, FACTS).repartition(4)
+    built, names = widetable.typed_rows(df, meta)
+    rows = {r.entity: r for r in built.collect()}
+    assert rows.keys() == {"hot", "b"} and rows["hot"][f"a{names.index('AGE')}"] == 7 and rows["b"].misfits == []
+    assert [tuple(m) for m in rows["hot"].misfits] == [("AGE", 2_000), ("OK", 1)]
+    found = widetable.misfits(df, meta)
+    assert {tuple(r) for r in found.collect()} == {("hot", "AGE", 2_000), ("hot", "OK", 1)}
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
