@@ -13,21 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from factloom.shared import written
 
 # Patterns and replacements in the syntax that Java's regular expressions share with RE2.
-# End marks, page footers and dots of omission, each rewritten as one sign (a
-# stray word inside a mark is allowed for). A footer has a line of its own.
-SIGNS = (
-    (r"-\r?\n", ""),
-    (r"\*\s*(?:\p{Ll}{1,9}\s*)?\*\s*(?:\p{Ll}{1,9}\s*)?\*|\(ends\)|\[ends?\]|#{2,}|-30-", "■"),
-    (r"(?m)^[ \t■]*(?:[—–-] ?\d+ ?[—–-]|\[col\. ?(?:\p{Ll}{1,9} )?\d+\]|\[?[Pp](?:age|\.) ?\d+\]?)[ \t■\r]*$", "■"),
-    (r"\[ ?(?:…|\.{3,}) ?\]|\( ?(?:…|\.{3,}) ?\)|\.{3,}|\. \.[ .]*", "…"),
-)
+# End marks, page footers and dots of omission. Marks and dots are rewritten as one
+# sign (a stray word inside a mark is allowed for); a footer has a line of its own. Behind each
+# pattern stands what a text holds in which it can match at all.
+END_MARKS = r"\*\s*(?:\p{Ll}{1,9}\s*)?\*\s*(?:\p{Ll}{1,9}\s*)?\*|\(ends\)|\[ends?\]|#{2,}|-30-", "■", ("*", "ends)", "[end", "##", "-30-")
+DOTS = r"\[ ?(?:…|\.{3,}) ?\]|\( ?(?:…|\.{3,}) ?\)|\.{3,}|\. \.[ .]*", "…", ("…", "...", ". .")
+FOOTER = r"^[ \t■]*(?:[—–-] ?\d+ ?[—–-]|\[col\. ?(?:\p{Ll}{1,9} )?\d+\]|\[?[Pp](?:age|\.) ?\d+\]?)[ \t■\r]*$"
 # Closed notes (also one within another), then a note that is still open at the end, then lines.
 NOTES = (
     (r"[\[(][^\[\]()]*[\])]", " ⟦ ⟦ ⟦ ⟧ "),
     (r"[\[(][^\[\]()]*[\])]", " ⟦ ⟦ ⟦ ⟧ "),
     (r"[\[(][^\[\]()]*$", " ⟦ ⟦ ⟦ "),
-    (r"\r", "\n"),
-    (r"\s*\n\s*", "\n"),
+    (r"\n\s*", "\n"),
 )
 # How a line of names, a heading or an entry of a list starts, and what none of them holds.
 NAMES_START = r"^\s*[\p{Lu}\p{N}]"
@@ -39,7 +36,7 @@ MARKS = (
     (r"\x22([\p{L}\p{N}])", r" “ \1"),
     (r"\x22", "”"),
     (r"\.(\p{Ll})\.", r"\1."),
-    (r"[^\p{L}\p{N}.?,:—“”’⟦⟧¶ -]+", " "),
+    (r"[^a-z \p{L}\p{N}.?,:—“”’⟦⟧¶-]+", " "),
     (r"([.?,:—“”]) *", r" \1 "),
     (r" {2,}", " "),
     (r" -+", " "),
@@ -50,8 +47,7 @@ CLASSES = ((r" \p{Lu}[^ ]*", " A"), (r" \p{N}[^ ]*", " #"))
 class _Spark:
     """The functions that Spark's SQL and DuckDB's (the twin's) name differently."""
 
-    any_hash, lines = "xxhash64", "split(bare_notes, r'\\n')"
-    blanks = r"' \t\r\n■'", r"' \t\r\n■…'"
+    any_hash, cr, newline, split, blanks = "xxhash64", r"'\r'", r"'\n'", "split", r"' \t\r\n■'"
 
     def replaced(self, x: str, steps) -> str:
         for pattern, by in steps:
@@ -59,12 +55,19 @@ class _Spark:
             x = f"regexp_replace({x}, r'{pattern}', '{by}')"
         return x
 
-    def stripped(self, x: str, chars: str) -> str:
-        return f"trim(TRAILING {chars} FROM {x})"
+    def signed(self, x: str, pattern: str, by: str, where: tuple[str, ...]) -> str:
+        """``replaced`` of the texts that hold any of ``where``, which is found far sooner."""
+        return f"CASE WHEN {' OR '.join(f"contains({x}, '{w}')" for w in where)} THEN {self.replaced(x, ((pattern, by),))} ELSE {x} END"
+
+    def stripped(self, x: str, more: str = "") -> str:
+        return f"trim(TRAILING {self.blanks[:-1]}{more}' FROM {x})"
 
     def matches(self, x: str, pattern: str) -> str:
         return f"regexp({x}, r'{pattern}')"
 
+    def without_lines(self, x: str, pattern: str) -> str:
+        return f"array_join(filter(split({x}, {self.newline}), l -> NOT {self.matches('l', pattern)}), {self.newline})"
+
     def per_line(self, of) -> str:
         return f"array_join(transform(lines, (x, i) -> {of('x', 'i = 0', 'get(lines, i - 1)')}), ' ')"
 
@@ -75,20 +78,22 @@ class _Spark:
 
 
 class _Duck(_Spark):
-    any_hash, lines = "hash", "string_split(bare_notes, chr(10))"
-    blanks = "' ' || chr(9) || chr(13) || chr(10) || '■'", "' ' || chr(9) || chr(13) || chr(10) || '■…'"
+    any_hash, cr, newline, split, blanks = "hash", "chr(13)", "chr(10)", "string_split", "' ' || chr(9) || chr(13) || chr(10) || '■'"
 
     def replaced(self, x: str, steps) -> str:
         for pattern, by in steps:
             x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
         return x
 
-    def stripped(self, x: str, chars: str) -> str:
-        return f"rtrim({x}, {chars})"
+    def stripped(self, x: str, more: str = "") -> str:
+        return f"rtrim({x}, {self.blanks[:-1]}{more}')"
 
     def matches(self, x: str, pattern: str) -> str:
         return f"regexp_matches({x}, '{pattern}')"
 
+    def without_lines(self, x: str, pattern: str) -> str:
+        return f"array_to_string(list_filter(string_split({x}, {self.newline}), lambda l: NOT {self.matches('l', pattern)}), {self.newline})"
+
     def per_line(self, of) -> str:
         return f"array_to_string(list_transform(lines, lambda x, i: {of('x', 'i = 1', 'lines[i - 1]')}), ' ')"
 
@@ -113,10 +118,12 @@ def _counted(q: _Spark, documents: str) -> str:
     for a, b in ALIKE:
         alike = f"replace({alike}, '{a}', '{b}')"
     return f"""
-        WITH signed AS (SELECT doc_id, source, {q.any_hash}(text) AS h, {q.replaced('text', SIGNS)} AS x FROM {documents} WHERE length(text) > 0),
-        stripped AS (SELECT doc_id, source, h, {q.stripped('x', q.blanks[0])} AS core, {q.stripped('x', q.blanks[1])} AS bare FROM signed),
-        noted AS (SELECT doc_id, source, h, core LIKE '%…' AND NOT {q.matches('bare', r'[.!?][^\p{L}\p{N}]*$')} AS dotted, {q.replaced('bare', NOTES)} AS bare_notes FROM stripped),
-        in_lines AS (SELECT doc_id, source, h, dotted, {q.lines} AS lines FROM noted),
+        WITH joined AS (SELECT doc_id, source, {q.any_hash}(text) AS h, replace(replace(text, '-' || {q.cr} || {q.newline}, ''), '-' || {q.newline}, '') AS x FROM {documents} WHERE length(text) > 0),
+        marked_off AS (SELECT doc_id, source, h, {q.signed('x', *END_MARKS)} AS x FROM joined),
+        dotted_off AS (SELECT doc_id, source, h, {q.signed('x', *DOTS)} AS x FROM (SELECT doc_id, source, h, {q.without_lines('x', FOOTER)} AS x FROM marked_off) f),
+        stripped AS (SELECT doc_id, source, h, {q.stripped('x')} AS core, {q.stripped('x', '…')} AS bare FROM dotted_off),
+        noted AS (SELECT doc_id, source, h, core LIKE '%…' AND NOT {q.matches('bare', r'[.!?][^\p{L}\p{N}]*$')} AS dotted, {q.replaced(f"replace(bare, {q.cr}, {q.newline})", NOTES)} AS x FROM stripped),
+        in_lines AS (SELECT doc_id, source, h, dotted, {q.split}(x, {q.newline}) AS lines FROM noted),
         named AS (SELECT doc_id, source, h, dotted, {q.per_line(line)} AS x FROM in_lines),
         marked AS (SELECT doc_id, source, h, dotted, {q.replaced(alike, MARKS)} AS x FROM named),
         tokens AS (SELECT doc_id, source, h, dotted, trim('^ ^ ' || trim(x)) AS s FROM marked),
