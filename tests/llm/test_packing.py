@@ -101,3 +101,29 @@ def test_supplied_documents(spark, sf, capacity):
     bins, size = check(packed.collect(), docs, capacity)
     f = packing.fill(packed).first()
     assert f.containers == len(bins) and f.tokens == sum(size.values())
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    """One row many times, and null ids: no shard gets them all, and all are packed."""
+    from factloom.shared import written
+
+    docs = spark.range(4_000).selectExpr("CAST(IF(id % 2 = 0, 7, NULL) AS BIGINT) AS doc_id", "'the same text' AS text", "'s' AS source")
+    rows = packing.containers(docs, capacity=64, shard_items=500).collect()
+    held = [r.container_id for r in rows]
+    assert len(rows) == 4_000 and len(set(held)) == 4_000
+    per = defaultdict(int)
+    for c in held:
+        per[c.split("-")[0]] += 1
+    assert len(per) == 8 and max(per.values()) < 700
+    names = [r.row for r in written(packing.measured(docs), "names").collect()]
+    assert len(set(names)) == len(names)
+
+
+def test_whole_parts_fill_a_container_each(spark):
+    docs = [(1, "word " * 1_000, "a"), (2, "word " * 64, "a"), (3, "word " * 64, "b"), (4, "b", "b"), (4, "b", "b")]
+    df = spark.createDataFrame([(i, t, s, 0) for i, t, s in docs], SCHEMA)
+    packed = packing.containers(df, capacity=64)
+    full = [r for r in packed.collect() if r.n_tokens == 64]
+    assert len({r.container_id for r in full}) == len(full) >= 16 and all(r.container_id.startswith("full-") for r in full)
+    assert all((r.undivided, r.gapless, r.placed) == (True, True, True) for r in packing.wholeness(packed, 64).collect())
+    assert packing.fill(packed, 64).first().fullest == 64
