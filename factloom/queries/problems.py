@@ -59,14 +59,28 @@ def p5_partials(spark: SparkSession, d: str) -> DataFrame:
     return sketches.partials(_days(spark, d), ["day", "origin"], ["user_id", "movie_id"])
 
 
+def p5_within(spark: SparkSession, d: str) -> DataFrame:
+    """The exact count of every group, and whether it lies within the stated bound of the estimate."""
+    rows, none_day, none_origin = _days(spark, d), F.lit(None).cast("date"), F.lit(None).cast("string")
+    grains = {"day": (F.col("day"), none_origin), "week": (F.trunc("day", "week"), none_origin), "year": (F.trunc("day", "year"), none_origin), "origin": (none_day, F.col("origin")), "day_origin": (F.col("day"), F.col("origin"))}
+    keys = F.explode(F.array(*[F.struct(F.lit(g).alias("grain"), day.alias("day"), origin.alias("origin")) for g, (day, origin) in grains.items()]))
+    ids = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("id")) for f in ("user_id", "movie_id")]))
+    each = rows.select(keys.alias("g"), "user_id", "movie_id").select("g", ids.alias("x")).filter((F.col("g.day").isNotNull() | (F.col("g.grain") == "origin")) & F.col("x.id").isNotNull())
+    exact = each.groupBy("g", "x.field").agg(F.count_distinct("x.id").alias("n")).select("g.*", "field", "n")
+    got = p5_distinct_counts(spark, d).withColumnsRenamed({c: f"__{c}" for c in ("grain", "day", "origin", "field")})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("grain", "day", "origin", "field")]
+    both = exact.join(got, same[0] & same[1] & same[2] & same[3], "full")
+    return both.select("grain", "day", "origin", "field", "n", F.coalesce(F.col("n").between(F.col("low"), F.col("high")), F.lit(False)).alias("within"))
+
+
 def p6_features(spark: SparkSession, d: str) -> DataFrame:
     return eventfeatures.event_features(table(spark, d, "ratings"), "user_id", ["origin", "rating"], "rating", ONE_RATING, _dated(spark, d), AS_OF_DAY)
 
 
 def p6_feature_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The features as rows: one per user and type that the user has ratings of."""
+    """The features as rows: one for each user and each type, also those without a rating."""
     x = p6_features(spark, d).select("user_id", F.posexplode(F.arrays_zip("n", "days_since_last", "total")).alias("position", "x"))
-    return x.select("user_id", "position", "x.n", "x.days_since_last", "x.total").filter("n > 0")
+    return x.select("user_id", "position", "x.n", "x.days_since_last", "x.total")
 
 
 def p6_event_types(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +107,7 @@ def p7_wide_values(spark: SparkSession, d: str) -> DataFrame:
     return w.select(*[plain.get(t, lambda c: c)(F.col(n)).alias(n.lower()) for n, t in w.dtypes])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_stats, p2_found, p3_rolling, p4_found, p4_valid_rows, p5_distinct_counts, p5_partials, p6_features, p6_feature_rows, p6_event_types, p7_found, p7_wide, p7_wide_values)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_stats, p2_found, p3_rolling, p4_found, p4_valid_rows, p5_distinct_counts, p5_partials, p5_within, p6_features, p6_feature_rows, p6_event_types, p7_found, p7_wide, p7_wide_values)}
 
 # The attributes of feature_metadata by their declared type.
 _GENRES = "action adventure animation childrens comedy crime documentary drama fantasy filmnoir horror musical mystery romance scifi thriller war western".split()
@@ -162,8 +176,23 @@ ORACLES = {
     "p6_feature_rows": f"""
         WITH {twins.ONCE},
         types AS (SELECT origin, rating, CAST(row_number() OVER (ORDER BY origin NULLS FIRST, rating NULLS FIRST) - 1 AS INTEGER) AS position FROM (SELECT DISTINCT origin, rating FROM ratings))
-        SELECT user_id, position, CAST(count(*) AS BIGINT) AS n, CAST(date_diff('day', max(day), DATE '2024-12-31') AS INTEGER) AS days_since_last, CAST(coalesce(sum(once.rating), 0) AS BIGINT) AS total
-        FROM once JOIN types ON once.origin IS NOT DISTINCT FROM types.origin AND once.rating IS NOT DISTINCT FROM types.rating GROUP BY user_id, position""",
+        there AS (
+            SELECT user_id, position, count(*) AS n, date_diff('day', max(day), DATE '2024-12-31') AS since, sum(once.rating) AS total
+            FROM once JOIN types ON once.origin IS NOT DISTINCT FROM types.origin AND once.rating IS NOT DISTINCT FROM types.rating GROUP BY user_id, position)
+        SELECT u.user_id, t.position, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(since AS INTEGER) AS days_since_last, CAST(coalesce(total, 0) AS BIGINT) AS total
+        FROM (SELECT DISTINCT user_id FROM once) u CROSS JOIN types t LEFT JOIN there ON u.user_id = there.user_id AND t.position = there.position""",
+    "p5_within": f"""
+        WITH {twins.instants(twins.RATINGS)},
+        rows_of AS (
+            SELECT CAST(to_days(CAST(floor(utc_ms / 86400000) AS INTEGER)) + DATE '1970-01-01' AS DATE) AS day, origin, unnest(['user_id', 'movie_id']) AS field, unnest([user_id, movie_id]) AS id
+            FROM ratings LEFT JOIN inst ON rating_id = row_id),
+        grains AS (
+            SELECT 'day' AS grain, day, NULL AS origin, field, id FROM rows_of WHERE day IS NOT NULL
+            UNION ALL SELECT 'week', CAST(date_trunc('week', day) AS DATE), NULL, field, id FROM rows_of WHERE day IS NOT NULL
+            UNION ALL SELECT 'year', CAST(date_trunc('year', day) AS DATE), NULL, field, id FROM rows_of WHERE day IS NOT NULL
+            UNION ALL SELECT 'origin', NULL, origin, field, id FROM rows_of
+            UNION ALL SELECT 'day_origin', day, origin, field, id FROM rows_of WHERE day IS NOT NULL)
+        SELECT grain, day, origin, field, count(DISTINCT id) AS n, true AS within FROM grains WHERE id IS NOT NULL GROUP BY grain, day, origin, field""",
     "p7_wide_values": _wide_twin(),
     "p1_found": """
         WITH k AS (SELECT 'movie_id' AS field, movie_id AS key_value FROM ratings UNION ALL SELECT 'user_id', user_id FROM ratings)
