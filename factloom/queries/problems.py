@@ -175,7 +175,7 @@ ORACLES = {
         SELECT line_id, origin, trim(v1, ' ') AS user_id, v2 AS movie_id, CAST(trim(v3, ' ') AS INTEGER) AS rating, v4 AS timestamp FROM w WHERE four AND rating_ok AND user_ok""",
     "p6_feature_rows": f"""
         WITH {twins.ONCE},
-        types AS (SELECT origin, rating, CAST(row_number() OVER (ORDER BY origin NULLS FIRST, rating NULLS FIRST) - 1 AS INTEGER) AS position FROM (SELECT DISTINCT origin, rating FROM ratings))
+        types AS (SELECT origin, rating, CAST(row_number() OVER (ORDER BY origin NULLS FIRST, rating NULLS FIRST) - 1 AS INTEGER) AS position FROM (SELECT DISTINCT origin, rating FROM ratings)),
         there AS (
             SELECT user_id, position, count(*) AS n, date_diff('day', max(day), DATE '2024-12-31') AS since, sum(once.rating) AS total
             FROM once JOIN types ON once.origin IS NOT DISTINCT FROM types.origin AND once.rating IS NOT DISTINCT FROM types.rating GROUP BY user_id, position)
