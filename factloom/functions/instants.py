@@ -77,6 +77,22 @@ def _count_ms(whole: Column, nanos: Column, window: tuple[int, int]) -> Column:
     return out
 
 
+def _exists(y: Column, m: Column, d: Column) -> Column:
+    """Whether the Gregorian calendar has the day."""
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    days = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return m.between(1, 12) & (d >= 1) & (d <= days)
+
+
+def _day_number(y: Column, m: Column, d: Column) -> Column:
+    """Days since 1970-01-01, in integers: years are counted from March, so that the leap day
+    comes last, and months of such a year begin 153 days apart every five."""
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    year = y - F.when(m <= 2, 1).otherwise(0)
+    month = F.when(m <= 2, m + 9).otherwise(m - 3)
+    return year * 365 + div(year, 4) - div(year, 100) + div(year, 400) + div(month * 153 + 2, 5) + d - 719_469
+
+
 def with_instant(
     df: DataFrame,
     text: str,
@@ -103,7 +119,7 @@ def with_instant(
     p = "__" + out
     trimmed, pieces = f"{p}_t", f"{p}_p"
     df = df.withColumn(trimmed, blank_trim(F.col(text)))
-    point = F.instr(F.translate(F.col(trimmed), ",", "."), ".")
+    point = F.instr(F.replace(F.col(trimmed), F.lit(","), F.lit(".")), ".")
     number = F.struct(
         F.when(point > 0, F.col(trimmed).substr(F.lit(1), point - 1)).otherwise(F.col(trimmed)).cast("decimal(20,0)").try_cast("bigint").alias("whole"),
         F.when(point > 0, F.rpad(F.col(trimmed).substr(point + 1, F.lit(9)), 9, "0").cast("bigint")).otherwise(0).alias("nanos"),
@@ -139,7 +155,10 @@ def with_instant(
     month = F.when(numeric_first, F.when(known_order, F.when(day_first, n("second")).otherwise(n("first")))).otherwise(F.coalesce(n("month"), by_name.cast("int")))
     day = F.when(numeric_first, F.when(day_first, n("first")).otherwise(n("second"))).otherwise(n("day"))
     hour = F.when(n("half") == "", n("h")).when(n("h").between(1, 12), n("h") % 12 + F.when(n("half") == "p", 12).otherwise(0))
-    wall = F.when((hour <= 23) & (n("s") <= 59), F.try_make_timestamp(n("year"), month, day, hour, n("mi"), n("s").cast("decimal(16,6)"), F.lit("UTC")))
+    # (a struct keeps the parts from being repeated in the arithmetic)
+    df = df.withColumn(f"{p}_d", F.when(n("zone").isNotNull(), F.struct(n("year").alias("y"), month.cast("int").alias("m"), day.cast("int").alias("d"), hour.cast("int").alias("h"))))
+    part = lambda x: F.col(f"{p}_d.{x}")
+    wall = F.when(_exists(part("y"), part("m"), part("d")) & (part("h") <= 23) & (n("mi") <= 59) & (n("s") <= 59), _day_number(part("y"), part("m"), part("d")) * 86_400 + part("h") * 3_600 + n("mi") * 60 + n("s"))
     hhmm = F.when(n("hhmm") < 100, n("hhmm") * 100).otherwise(n("hhmm"))
     shift = F.when((hhmm <= 1800) & (hhmm % 100 <= 59), (F.floor(hhmm / 100) * 60 + hhmm % 100) * F.when(n("bare").startswith("-"), -1).otherwise(1))
     table = {"Z": 0} | {k.upper(): int(v) for k, v in (zone_offsets or {}).items()}
@@ -159,10 +178,10 @@ def with_instant(
     )
     w = lambda x: F.col(f"{p}_w.{x}")
     region = F.when(w("region").isin(known_zones(df.sparkSession)), w("region"))
-    clock = F.coalesce(F.unix_millis(w("wall")) - w("minutes") * F.lit(60_000), F.unix_millis(F.to_utc_timestamp(w("wall"), region)))
+    clock = F.coalesce((w("wall") - w("minutes") * 60) * 1_000, F.unix_millis(F.to_utc_timestamp(F.timestamp_seconds(w("wall")), region)))
     count = F.when(F.col(f"{p}_c").isNotNull(), _count_ms(F.col(f"{p}_c.whole"), F.col(f"{p}_c.nanos"), window or YEAR_2024))
     df = df.withColumn(out, F.coalesce(count, _apart(clock + n("milli"))))
     if window:
         inside = lambda c: c.between(window[0], window[1] - 1)
-        df = df.withColumn(out, F.when(inside(F.col(out)) | F.coalesce(inside(F.unix_millis(w("wall"))), F.lit(False)), F.col(out)))
-    return df.drop(trimmed, pieces, f"{p}_c", f"{p}_n", f"{p}_w")
+        df = df.withColumn(out, F.when(inside(F.col(out)) | F.coalesce(inside(w("wall") * 1_000), F.lit(False)), F.col(out)))
+    return df.drop(trimmed, pieces, f"{p}_c", f"{p}_n", f"{p}_d", f"{p}_w")
