@@ -6,6 +6,8 @@ are joined by ``|`` and split again, so that one regular-expression pass per tex
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +41,11 @@ UNITS = ((86_400_000, 1), (3_600_000, 1), (60_000, 1), (1_000, 1), (1, 1), (1, 1
 YEAR_2024 = (1_704_067_200_000, 1_735_689_600_000)
 
 
-def known_zones(spark: SparkSession) -> list[str]:
-    """The region names of the JVM's zone rules (about 600, fixed by the Java release)."""
-    return sorted(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds())
+@cache
+def known_zones() -> str:
+    """The region names of the JVM's zone rules (about 600, fixed by the Java release), as SQL literals."""
+    jvm = SparkSession.active().sparkContext._jvm
+    return ", ".join(f"'{z}'" for z in sorted(jvm.java.lang.String.join(" ", jvm.java.time.ZoneId.getAvailableZoneIds()).split()))
 
 
 def blank_trim(text: Column) -> Column:
@@ -177,7 +181,7 @@ def with_instant(
         ),
     )
     w = lambda x: F.col(f"{p}_w.{x}")
-    region = F.when(w("region").isin(known_zones(df.sparkSession)), w("region"))
+    region = F.when(F.expr(f"`{p}_w`.region IN ({known_zones()})"), w("region"))
     clock = F.coalesce((w("wall") - w("minutes") * 60) * 1_000, F.unix_millis(F.to_utc_timestamp(F.timestamp_seconds(w("wall")), region)))
     count = F.when(F.col(f"{p}_c").isNotNull(), _count_ms(F.col(f"{p}_c.whole"), F.col(f"{p}_c.nanos"), window or YEAR_2024))
     df = df.withColumn(out, F.coalesce(count, _apart(clock + n("milli"))))

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.shared import fresh_path
+from factloom.shared import entries, fresh_path, written
 
 LEVEL_BITS = 4_096
 LEVELS_PER_SEGMENT = 8
@@ -61,11 +61,11 @@ def estimates(parts: DataFrame, groups: Sequence[str]) -> DataFrame:
     estimate less and plus ``ERROR_BOUND``.
     """
     size = LEVEL_BITS // 8
-    levels = F.transform(
-        F.sequence(F.lit(0), F.lit(LEVELS_PER_SEGMENT - 1)),
-        lambda i: F.struct((F.col("segment") * LEVELS_PER_SEGMENT + i).alias("level"), F.bitmap_count(F.substring(F.col("bitmap"), i * size + 1, F.lit(size))).alias("set")),
+    levels = F.array(
+        *[F.struct((F.col("segment") * LEVELS_PER_SEGMENT + i).alias("level"), F.bitmap_count(F.substring(F.col("bitmap"), i * size + 1, size)).alias("set")) for i in range(LEVELS_PER_SEGMENT)]
     )
-    per = parts.select(*groups, "field", F.inline(levels)).groupBy(*groups, "field").agg(F.collect_list(F.struct("level", "set")).alias("levels"))
+    # the bitmaps themselves are not shuffled, only the counts of their levels
+    per = parts.select(*groups, "field", levels.alias("levels")).groupBy(*groups, "field").agg(F.flatten(F.collect_list("levels")).alias("levels"))
     full = F.array_max(F.transform(F.filter("levels", lambda x: x["set"] > MOST_SET * LEVEL_BITS), lambda x: x["level"]))
     top = F.array_max(F.transform(F.filter("levels", lambda x: x["set"] > 0), lambda x: x["level"]))
     base = F.least(F.coalesce(full + 1, F.lit(0)), F.coalesce(top, F.lit(0)))
@@ -92,22 +92,25 @@ class DistinctCounts:
         """``grain, day, group, field, estimate, low, high`` by day, group, and day with group,
         and merged by week (``day`` is its Monday) and over the year (``day`` is 1 January).
 
-        Rows without a day count only in the grain of the group. A null group is a group.
+        Rows without a day count only in the grain of the group. A null group is a group. Weeks
+        and the year are merged from the bitmaps of days, of which there are few.
         """
-        parts = self.read()
-        dated = parts.filter(F.col(day).isNotNull())
+        parts = self.read().withColumnsRenamed({day: "__d", group: "__g"})
+        dated = parts.filter(F.col("__d").isNotNull())
         none_day, none_group = F.lit(None).cast("date"), F.lit(None).cast("string")
+        days = written(merge(dated, ["__d"]), "days")
+        d, g = F.col("__d"), F.col("__g")
+        # of one batch, days with group are as they were written
+        single = len(entries(self.spark, self.path)) == 1
         grains = {
-            "day": (dated, F.col(day), none_group),
-            "week": (dated, F.trunc(day, "week"), none_group),
-            "year": (dated, F.trunc(day, "year"), none_group),
-            group: (parts, none_day, F.col(group)),
-            f"day_{group}": (dated, F.col(day), F.col(group)),
+            "day": (days, d, none_group),
+            "week": (merge(days, [F.trunc("__d", "week").alias("__d")]), d, none_group),
+            "year": (merge(days, [F.trunc("__d", "year").alias("__d")]), d, none_group),
+            group: (merge(parts, ["__g"]), none_day, g),
+            f"day_{group}": (dated if single else merge(dated, ["__d", "__g"]), d, g),
         }
         out = None
-        for grain, (rows, d, g) in grains.items():
-            rows = rows.select(d.alias("__d"), g.alias("__g"), "field", "segment", "bitmap")
-            kept = estimates(merge(rows, ["__d", "__g"]), ["__d", "__g"])
-            kept = kept.select(F.lit(grain).alias("grain"), F.col("__d").alias(day), F.col("__g").alias(group), "field", "estimate", "low", "high")
+        for grain, (rows, when, which) in grains.items():
+            kept = rows.select(F.lit(grain).alias("grain"), when.alias(day), which.alias(group), "field", "segment", "bitmap")
             out = kept if out is None else out.unionByName(kept)
-        return out
+        return estimates(out, ["grain", day, group])
