@@ -10,7 +10,10 @@ import argparse
 import importlib
 import inspect
 import pkgutil
+import re
 import sys
+from collections.abc import Iterable
+from dataclasses import dataclass
 from types import ModuleType
 
 from factloom.metadata import Json0, Json1, Psv
@@ -39,49 +42,55 @@ def find_sets(package: str) -> list[MetadataSet]:
     return sorted(found.values(), key=lambda s: s.name)
 
 
-# Types of the bootstrap format.
-_VALUE_TYPES = {"double": ValueType.DECIMAL, "int": ValueType.INTEGRAL, "string": ValueType.STR}
-_STATISTICAL = {
-    ("continuous", ValueType.DECIMAL): FeatureType.CONTINUOUS,
-    ("continuous", ValueType.INTEGRAL): FeatureType.DISCRETE,
-    ("categorical", ValueType.INTEGRAL): FeatureType.ORDINAL,
-    ("categorical", ValueType.STR): FeatureType.NOMINAL,
+# The combinations the stub format allows, and what each declares.
+STUB_KINDS = {
+    "double continuous": (ValueType.DECIMAL, FeatureType.CONTINUOUS),
+    "int continuous": (ValueType.INTEGRAL, FeatureType.DISCRETE),
+    "int categorical": (ValueType.INTEGRAL, FeatureType.ORDINAL),
+    "string categorical": (ValueType.STR, FeatureType.NOMINAL),
 }
 
 
-def parse_stub(line: str, separator: str = "|") -> tuple[str, str, ValueType, FeatureType, str]:
-    values = line.split(separator)
-    while values and values[-1] == "":
-        values.pop()
-    if len(values) < 3:
-        raise ValueError(f"could not parse {separator}-separated values from '{line}'")
-    parts = values[0].split(".")
-    if len(parts) != 2:
-        raise ValueError(f"could not parse name from '{values[0]}'")
-    value_type = _VALUE_TYPES.get(values[1].lower())
-    if value_type is None:
-        raise ValueError(f"unknown value type '{values[1]}'")
-    kind = values[2].lower()
-    if kind not in ("continuous", "categorical"):
-        raise ValueError(f"unknown feature type '{values[2]}'")
-    feature_type = _STATISTICAL.get((kind, value_type))
-    if feature_type is None:
-        raise ValueError(f"invalid value type {value_type.name} for {kind} feature")
-    return parts[0], parts[1], value_type, feature_type, values[3] if len(values) == 4 else f"Description for {parts[1]}"
-
-
-def bootstrap(lines: list[str], source_type: str, separator: str = "|") -> str:
-    """A Python module with a metadata set of stubs, the last line's feature first."""
-    stubs = []
+@dataclass(frozen=True)
+class Stub:
+    """One declared feature: a line ``namespace.name|type|kind[|description]``."""
+
+    namespace: str
+    name: str
+    kind: str
+    description: str
+
+    @staticmethod
+    def grammar(separator: str) -> re.Pattern[str]:
+        s, plain = re.escape(separator), f"[^{re.escape(separator)}]"
+        return re.compile(rf"(?P<namespace>[^.{re.escape(separator)}]*)\.(?P<name>[^.{re.escape(separator)}]*){s}(?P<type>{plain}*){s}(?P<kind>{plain}+)(?P<more>(?:{s}{plain}*)*)", re.S)
+
+    def source(self, record: str) -> str:
+        value_type, feature_type = STUB_KINDS[self.kind]
+        return f"        FeatureStub({record!r}, ValueType.{value_type.name}).as_feature_metadata(FeatureType.{feature_type.name}, {self.namespace!r}, {self.name!r}, {self.description!r}),"
+
+
+def read_stubs(lines: Iterable[str], separator: str = "|") -> list[Stub]:
+    """The stubs of all lines; raises with every line that is none, and why."""
+    stubs, faults, grammar = [], [], Stub.grammar(separator)
     for n, line in enumerate(lines, 1):
-        try:
-            stubs.append(parse_stub(line, separator))
-        except ValueError as e:
-            raise ValueError(f"error at line {n}: {e}") from e
-    out = ["from factloom.plans.features import FeatureStub, MetadataSet", "from factloom.types import FeatureType, ValueType", "", "", f"class {source_type}FeatureSet(MetadataSet):", "    metadata = ["]
-    for namespace, name, value_type, feature_type, description in reversed(stubs):
-        out.append(f"        FeatureStub({source_type!r}, ValueType.{value_type.name}).as_feature_metadata(FeatureType.{feature_type.name}, {namespace!r}, {name!r}, {description!r}),")
-    return "\n".join([*out, "    ]", ""])
+        m = grammar.fullmatch(line)
+        kind = f"{m['type']} {m['kind']}".lower() if m else ""
+        if kind in STUB_KINDS:
+            more = m["more"].rstrip(separator).split(separator)
+            stubs.append(Stub(m["namespace"], m["name"], kind, more[1] if len(more) == 2 else f"Description for {m['name']}"))
+        else:
+            faults.append(f"line {n}: " + (f"'{kind}' is none of {', '.join(STUB_KINDS)}" if m else f"'{line}' does not read namespace.name{separator}type{separator}kind"))
+    if faults:
+        raise ValueError("; ".join(faults))
+    return stubs
+
+
+def bootstrap(lines: Iterable[str], record: str, separator: str = "|") -> str:
+    """A Python module with a metadata set of stubs, the last line's feature first."""
+    declared = [stub.source(record) for stub in read_stubs(lines, separator)]
+    head = f"from factloom.plans.features import FeatureStub, MetadataSet\nfrom factloom.types import FeatureType, ValueType\n\n\nclass {record}FeatureSet(MetadataSet):\n    metadata = [\n"
+    return head + "".join(f"{d}\n" for d in reversed(declared)) + "    ]\n"
 
 
 def main(argv: list[str] | None = None) -> int:

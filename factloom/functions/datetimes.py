@@ -24,7 +24,7 @@ def parse_date(text: Column, pattern: str = DAY_PATTERN) -> Column:
 def parse_date_strict(text: Column, pattern: str = DAY_PATTERN) -> Column:
     """The day; fails the job where the text is not one of the pattern. Null stays null."""
     day = parse_date(text, pattern)
-    problem = F.concat(F.lit("Unable to parse date: ("), text, F.lit(f",{pattern})"))
+    problem = F.concat(F.lit("no day of the form "), F.lit(f"{pattern}: "), text)
     return F.when(text.isNull() | day.isNotNull(), day).otherwise(F.raise_error(problem).cast("date"))
 
 
@@ -65,7 +65,7 @@ def parse_without_millis(text: Column) -> Column:
 
 def strict(text: Column, parsed: Column) -> Column:
     """``parsed``, failing the job where a text that is not null gave none."""
-    bad = F.raise_error(F.concat(F.lit("Unable to parse time: "), text)).cast("struct<millis:bigint,off_h:int,off_m:int>")
+    bad = F.raise_error(F.concat(F.lit("no time with a zone: "), text)).cast("struct<millis:bigint,off_h:int,off_m:int>")
     return F.when(text.isNull() | parsed.isNotNull(), parsed).otherwise(bad)
 
 

@@ -142,9 +142,9 @@ def decoded(lines: DataFrame, schema: Schema, delimiter: str = "|") -> DataFrame
     bad = F.lit(None).cast("string")
     for name, r, t in reversed(list(zip(names, raw, typed, strict=True))):
         wrong = (r.isNotNull() & t.isNull()) if name in schema.optional else t.isNull()
-        bad = F.when(wrong, F.concat(F.lit(f"unexpected type: field {name}: "), F.coalesce(r, F.lit("\\N")))).otherwise(bad)
+        bad = F.when(wrong, F.concat(F.lit(f"field {name} has another type: "), F.coalesce(r, F.lit("\\N")))).otherwise(bad)
     size = F.size("p")
-    error = F.when(size < n, F.concat(F.lit("not enough fields: "), F.col("value"))).when(size > n, F.concat(F.lit("too many fields: "), F.col("value"))).otherwise(bad)
+    error = F.when(size < n, F.concat(F.lit(f"fewer than {n} fields: "), F.col("value"))).when(size > n, F.concat(F.lit(f"more than {n} fields: "), F.col("value"))).otherwise(bad)
     return parts.select("value", error.alias("error"), *[t.alias(name) for name, t in zip(names, typed, strict=True)])
 
 

@@ -15,7 +15,7 @@ def test_dates(spark):
     ok, bad = one(spark, d.parse_date(F.lit("2000-01-20")), d.parse_date(F.lit("20-01-2000")))
     assert ok == dt.date(2000, 1, 20) and bad is None
     assert one(spark, d.iso_date(d.parse_date(F.lit("20/01/2000"), "dd/MM/yyyy")))[0] == "2000-01-20"
-    with pytest.raises(PySparkException, match="Unable to parse date"):
+    with pytest.raises(PySparkException, match="no day of the form"):
         one(spark, d.parse_date_strict(F.lit("20-01-2000")))
 
 
@@ -51,5 +51,5 @@ def test_formats_and_offsets(spark):
         d.parse_time_format(F.lit("x"), "yyyy-MM-dd'Z'")
     replaced = d.parse_with_offset(F.lit("2000-06-06T10:00:00+02:00"), "yyyy-MM-dd'T'HH:mm:ssXXX", -3, -30)
     assert one(spark, d.rfc3339(replaced))[0] == "2000-06-06T10:00:00.000-03:30"
-    with pytest.raises(PySparkException, match="Unable to parse time"):
+    with pytest.raises(PySparkException, match="no time with a zone"):
         one(spark, d.strict(F.lit("x"), d.parse_with_millis(F.lit("x"))))
