@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -81,6 +82,14 @@ class Files:
             out.write(bytearray(text.encode()))
         out.close()
 
+    def get(self, path: str) -> str:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def leaves(self, root: str, below: str = "") -> list[str]:
         """Relative folders that hold data files."""
         found, own = [], False
@@ -200,6 +209,15 @@ def _place(files: Files, staged: str, target: str) -> set[str]:
     return set(targets.values())
 
 
+@contextmanager
+def _removed_on_failure(files: Files, staged: str) -> Iterator[None]:
+    try:
+        yield
+    except BaseException:
+        files.remove(staged)
+        raise
+
+
 def _checked_name(name: str) -> str:
     if not re.fullmatch(r"\w+", name):
         raise ValueError(f"bad table name {name}")
@@ -229,24 +247,29 @@ class TextSink:
             raise AttemptedWriteToCommitted([f"{self.path}/{self.partition.path}"])
         text = rows.select(serialised(rows.select(*columns), self.delimiter, self.conflict).alias("value"), *[c.alias(n) for n, c in parts.items()])
         staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
-        text.write.option(*_QUIET).partitionBy(*self.partition.partition.fields).text(staged)
-        written = _place(files, staged, self.path)
+        with _removed_on_failure(files, staged):
+            text.write.option(*_QUIET).partitionBy(*self.partition.partition.fields).text(staged)
+            written = _place(files, staged, self.path)
         ensure_text_table(facts.sparkSession, self.database, self.table, self.path, columns, self.partition.partition.fields, self.delimiter)
         return written
 
 
 def ensure_text_table(spark: SparkSession, database: str, table: str, path: str, columns: Sequence[str], partition: Sequence[str], delimiter: str) -> None:
-    """The external table over a text sink's folder, with its partitions; safe to repeat.
+    """The table over a text sink's folder, with its partitions; safe to repeat.
 
-    Without Hive the table is a csv one, in which empty strings read as null.
+    The external table ``TABLE_lines`` holds the lines; ``TABLE`` is a view of their fields, in
+    which empty strings stay empty and ``\\N`` is null. Filters on the partition's fields reach
+    the files through the view.
     """
-    name = f"`{_checked_name(database)}`.`{_checked_name(table)}`"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-    fields = ", ".join(f"`{c}` STRING" for c in (*columns, *partition))
+    name, lines = f"`{_checked_name(database)}`.`{_checked_name(table)}`", f"`{database}`.`{table}_lines`"
     keys = ", ".join(f"`{p}`" for p in partition)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING csv OPTIONS (sep '{delimiter}', nullValue '\\\\N', quote '', header 'false') PARTITIONED BY ({keys}) LOCATION '{path}'")
-    spark.sql(f"MSCK REPAIR TABLE {name}")
-    spark.catalog.refreshTable(f"{database}.{table}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {lines} (value STRING, {', '.join(f'`{p}` STRING' for p in partition)}) USING text PARTITIONED BY ({keys}) LOCATION '{path}'")
+    spark.sql(f"MSCK REPAIR TABLE {lines}")
+    spark.catalog.refreshTable(f"{database}.{table}_lines")
+    at = "\\\\Q" + delimiter + "\\\\E"
+    fields = ", ".join(f"nullif(get(f, {i}), '\\\\N') AS `{c}`" for i, c in enumerate(columns))
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {fields}, {keys} FROM (SELECT split(value, '{at}', -1) AS f, {keys} FROM {lines})")
 
 
 @dataclass
@@ -267,7 +290,10 @@ class ParquetSink:
         columns = rows.dtypes
         if stats:
             rows = stats.count(rows, "write.parquet")
-        rows.write.option(*_QUIET).mode("append").parquet(target)
+        files, staged = Files(spark), f"{self.path}/_staged-{uuid.uuid4().hex}"
+        with _removed_on_failure(files, staged):
+            rows.write.option(*_QUIET).parquet(staged)
+            _place(files, staged, target)
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{_checked_name(self.database)}`")
         name = f"`{self.database}`.`{_checked_name(self.table)}`"
         fields = ", ".join([f"`{c}` {t}" for c, t in columns] + [f"`{p}` STRING" for p in self.partition.partition.fields])

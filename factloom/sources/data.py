@@ -130,22 +130,23 @@ class ParquetSource(DataSource):
 
 
 def decoded(lines: DataFrame, schema: Schema, delimiter: str = "|") -> DataFrame:
-    """``error`` (null for good rows) and the typed fields of delimited lines in column ``value``.
+    """``__line``, ``__error`` (null for good rows) and the typed fields of delimited lines in
+    column ``value``.
 
     No quoting or escaping; ``\\N`` is null in fields declared optional and no value elsewhere
     but in strings; an empty string is an empty string.
     """
     names, n = schema.names, len(schema.names)
-    parts = lines.select("value", F.split("value", re.escape(delimiter), -1).alias("p"))
-    raw = [F.when(F.get("p", F.lit(i)) != "\\N", F.get("p", F.lit(i))) for i in range(n)]
+    parts = lines.select(F.col("value").alias("__line"), F.split("value", re.escape(delimiter), -1).alias("__fields"))
+    raw = [F.nullif(F.get("__fields", F.lit(i)), F.lit("\\N")) for i in range(n)]
     typed = [r.try_cast(f.dataType) for r, f in zip(raw, schema.struct, strict=True)]
     bad = F.lit(None).cast("string")
     for name, r, t in reversed(list(zip(names, raw, typed, strict=True))):
         wrong = (r.isNotNull() & t.isNull()) if name in schema.optional else t.isNull()
         bad = F.when(wrong, F.concat(F.lit(f"field {name} has another type: "), F.coalesce(r, F.lit("\\N")))).otherwise(bad)
-    size = F.size("p")
-    error = F.when(size < n, F.concat(F.lit(f"fewer than {n} fields: "), F.col("value"))).when(size > n, F.concat(F.lit(f"more than {n} fields: "), F.col("value"))).otherwise(bad)
-    return parts.select("value", error.alias("error"), *[t.alias(name) for name, t in zip(names, typed, strict=True)])
+    size = F.size("__fields")
+    error = F.when(size < n, F.concat(F.lit(f"fewer than {n} fields: "), F.col("__line"))).when(size > n, F.concat(F.lit(f"more than {n} fields: "), F.col("__line"))).otherwise(bad)
+    return parts.select("__line", error.alias("__error"), *[t.alias(name) for name, t in zip(names, typed, strict=True)])
 
 
 class TextSource(DataSource):
@@ -158,14 +159,15 @@ class TextSource(DataSource):
         log.info("Loading %s", ", ".join(self.paths))
         d = decoded(session().read.text(self.paths), self.schema, self.delimiter)
         # a filter, as checks in projected columns are pruned with the columns
-        df = d.filter(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")).otherwise(True)).drop("value", "error")
+        df = d.filter(F.when(F.col("__error").isNotNull(), F.raise_error(F.col("__error")).cast("boolean")).otherwise(True)).drop("__line", "__error")
         return stats.count(df, "load.text") if stats else df
 
 
 def decode_leniently(spark: SparkSession, paths: str | Sequence[str], schema: Schema, delimiter: str = "|") -> tuple[DataFrame, DataFrame]:
     """Good rows, and ``value, error`` of the others."""
     d = decoded(spark.read.text(paths if isinstance(paths, str) else list(paths)), schema, delimiter)
-    return d.filter(F.col("error").isNull()).drop("value", "error"), d.filter(F.col("error").isNotNull()).select("value", "error")
+    bad = d.filter(F.col("__error").isNotNull()).select(F.col("__line").alias("value"), F.col("__error").alias("error"))
+    return d.filter(F.col("__error").isNull()).drop("__line", "__error"), bad
 
 
 __all__ = ["DataFrameSource", "DataSource", "ParquetSource", "Partition", "Partitions", "TextSource", "View", "decode_leniently", "decoded"]

@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from factloom.queries import problems, reference
+from factloom.queries import inout, problems, reference
 
 duckdb = pytest.importorskip("duckdb")
 ORACLES = {**reference.ORACLES, **problems.ORACLES}
