@@ -177,7 +177,7 @@ def q_metadata(spark, d):
 
 @query("""
     WITH l AS (SELECT string_split(regexp_replace(raw_line, '\r+$', ''), chr(9)) AS f FROM rating_lines),
-    k AS (SELECT CASE WHEN len(f) < 4 THEN 'fewer' WHEN len(f) > 4 THEN 'more' WHEN NOT regexp_full_match(trim(f[3]), '[+-]?[0-9]+') THEN 'another type' ELSE 'good' END AS kind, f FROM l)
+    k AS (SELECT CASE WHEN len(f) < 4 THEN 'fewer' WHEN len(f) > 4 THEN 'more' WHEN list_contains(f, '\\N') OR NOT regexp_full_match(trim(f[3]), '[+-]?[0-9]+') THEN 'another type' ELSE 'good' END AS kind, f FROM l)
     SELECT kind, count(*) AS n, sum(CASE WHEN kind = 'good' THEN CAST(trim(f[3]) AS BIGINT) END) AS total FROM k GROUP BY kind""")
 def q_lenient_text(spark, d):
     """Raw lines as a text source: decoded ones, and the others by what is wrong with them."""
