@@ -2,8 +2,8 @@
 
 The patterns are all runs of ``run`` consecutive words of the evaluation items. A shift table
 by block of two words tells how far the search may move without missing a pattern; where it
-says 0, the suffix bucket of the block lists the places in the items that end with it, and a
-direct comparison of the run confirms.
+says 0, the suffix bucket of the block lists the places in the items that end with it, by their
+prefix (the first two words of the run), and a direct comparison of the run confirms.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ class Patterns:
                 self.texts.append((item, w))
         self.base = len(self.ids) + 1
         self.shift: dict[int, int] = {}
-        self.bucket: dict[int, list[tuple[int, int]]] = {}
+        # by block and prefix in one number: a place (text and end in one number) or a list of places
+        self.bucket: dict[int, int | list[int]] = {}
         for at, (_, w) in enumerate(self.texts):
             # distance from a block to the end of the nearest pattern that holds it
             for end in range(1, len(w)):
@@ -44,7 +45,12 @@ class Patterns:
                 nearest = max(0, run - 1 - end)
                 self.shift[block] = min(self.shift.get(block, run), nearest)
                 if end >= run - 1:
-                    self.bucket.setdefault(block, []).append((at, end))
+                    key = (block * self.base + w[end - run + 1]) * self.base + w[end - run + 2]
+                    there = self.bucket.setdefault(key, place := at << 32 | end)
+                    if isinstance(there, list):
+                        there.append(place)
+                    elif there != place:
+                        self.bucket[key] = [there, place]
 
     def items_in(self, text: str) -> set[int]:
         known, shift, bucket, base, run = self.ids, self.shift, self.bucket, self.base, self.run
@@ -66,8 +72,10 @@ class Patterns:
                 at += step
                 continue
             here = None
-            for t, end in bucket[block]:
-                item, p = self.texts[t]
+            places = bucket.get((block * base + w[at - run + 1]) * base + w[at - run + 2])
+            for place in () if places is None else places if isinstance(places, list) else (places,):
+                end = place & 0xFFFFFFFF
+                item, p = self.texts[place >> 32]
                 if item not in found:
                     here = here or w[at - run + 1 : at + 1]
                     if p[end - run + 1 : end + 1] == here:
@@ -90,12 +98,13 @@ def _search(patterns: Patterns):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = 15, block_chars: int = 20_000_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, run: int = 15, block_chars: int = 8_000_000) -> DataFrame:
     """``doc_id, item_id`` for every document that holds at least ``run`` consecutive words of an item.
 
     The corpus is only scanned, never shuffled. The items' tables are held by every task; items
     of more than ``block_chars`` characters in all are searched in several scans, each with the
-    tables of one block of items, so that a task's memory has a bound.
+    tables of one block of items, so that a task's memory has a bound
+    (measured: see README).
 
     Defined results: null and empty texts hold nothing; an item of fewer than ``run`` words is
     never found; repeated documents or items give repeated rows per document only; an empty

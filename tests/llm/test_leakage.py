@@ -29,6 +29,22 @@ def test_search_equals_brute_force(items, doc, run):
     assert {(0, i) for i in leakage.Patterns(items, run).items_in(" ".join(doc))} == brute([(0, " ".join(doc))], items, run)
 
 
+def test_a_pair_that_ends_thousands_of_patterns():
+    """Runs that share their last two words are told apart by their first two, not one by one."""
+    import time
+
+    rnd = random.Random(3)
+    words = lambda n: [f"w{rnd.randrange(3_000)}" for _ in range(n)]
+    items = [(i, " ".join([*words(13), "of", "the"])) for i in range(20_000)]
+    patterns = leakage.Patterns(items, 15)
+    doc = " ".join(" ".join([*words(13), "of", "the"]) for _ in range(20_000)) + " " + items[7][1]
+    began = time.time()
+    assert patterns.items_in(doc) == {7}
+    assert time.time() - began < 5
+    same = leakage.Patterns([(i, items[0][1]) for i in range(50)], 15)
+    assert same.items_in(items[0][1] + " x " + items[0][1]) == set(range(50))
+
+
 def test_operator_with_nulls_empty_texts_and_blocks_of_items(spark):
     rnd = random.Random(2)
     vocabulary = [f"w{i}" for i in range(30)]
