@@ -1,7 +1,7 @@
 """One row per entity with count, recency and total for each of hundreds of event types.
 
 Two-stage salted aggregation: a group of one entity and type is spread over salts taken from
-the rest of the row, so no task gets all of a heavy group; the partial statistics (one per
+the key of the row, so no task gets all of a heavy group; the partial statistics (one per
 entity, type and salt) are merged per entity and scattered into dense arrays over the complete
 list of types.
 """
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.keys import row_key
 from factloom.operators.rolling import day_number
 from factloom.shared import bounded_rows
 
@@ -63,16 +64,16 @@ def event_features(
     types = event_types(events, by) if types is None else list(types)
     fields = ", ".join(f"__t{i} {dict(events.dtypes)[c]}" for i, c in enumerate(by))
     lookup = spark.createDataFrame([(*t, i) for i, t in enumerate(types)], f"{fields}, __type int") if types else spark.createDataFrame([], f"{fields}, __type int")
-    rows = dated(events.filter(F.col(entity).isNotNull()).select(*once).distinct())
-    rows = rows.withColumn("__day", day_number(F.col("utc_ms")))
+    rows = dated(events.filter(F.col(entity).isNotNull()).select(*once))
     match = None
     for i, c in enumerate(by):
         same = F.col(c).eqNullSafe(F.col(f"__t{i}"))
         match = same if match is None else match & same
-    rest = [c for c in once if c not in (entity, *by)]
-    salt = F.pmod(F.xxhash64(*rest), F.lit(salts)) if rest else F.lit(0)
-    typed = rows.join(lookup, match).select(F.col(entity).alias("entity"), F.col("__type").alias("type"), salt.alias("salt"), "__day", F.col(value).cast("bigint").alias("value"))
-    stage1 = typed.groupBy("entity", "type", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("__day").alias("last"), F.coalesce(F.sum("value"), F.lit(0)).alias("total"))
+    # repeated rows are found by a key of 128 bits; only what is totalled is shuffled beside it
+    k1, k2 = row_key(once)
+    typed = rows.join(lookup, match).select(k1.alias("k1"), k2.alias("k2"), F.col(entity).alias("entity"), F.col("__type").alias("type"), day_number(F.col("utc_ms")).alias("day"), F.col(value).cast("bigint").alias("value"))
+    single = typed.distinct().withColumn("salt", F.pmod("k1", F.lit(salts)))
+    stage1 = single.groupBy("entity", "type", "salt").agg(F.count(F.lit(1)).alias("n"), F.max("day").alias("last"), F.coalesce(F.sum("value"), F.lit(0)).alias("total"))
     packed = stage1.groupBy("entity").agg(F.collect_list(F.struct("type", "n", "last", "total")).alias("x"))
     out = packed.mapInArrow(_expand(len(types), as_of_day, lanes), "entity string, n array<bigint>, days_since_last array<int>, total array<bigint>")
     return out.withColumnRenamed("entity", entity)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.keys import row_key
+
 MS_PER_DAY = 86_400_000
 
 
@@ -96,9 +98,12 @@ def rolling_totals(daily: DataFrame, entity: str, windows: Sequence[int] = (7, 3
 def daily_totals(events: DataFrame, entity: str, value: str, once: Sequence[str], dated: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``entity, day, n, s`` per entity and UTC day; rows alike in all columns ``once`` count once.
 
-    ``dated`` adds the column ``utc_ms``; it runs after repeated rows are gone. Rows without
+    ``dated`` adds the column ``utc_ms``. It runs before repeated rows are sought: these are then
+    found by a key of 128 bits, and only what is totalled is shuffled beside it. Rows without
     entity are left out; those without an instant come out under a null day. ``n`` counts and
     ``s`` sums the non-null values; a day that has only null values keeps its row, with n 0.
     """
-    rows = dated(events.filter(F.col(entity).isNotNull()).select(*once).distinct())
-    return rows.withColumn("day", day_number(F.col("utc_ms"))).groupBy(entity, "day").agg(F.count(value).alias("n"), F.coalesce(F.sum(F.col(value).cast("double")), F.lit(0.0)).alias("s"))
+    rows = dated(events.filter(F.col(entity).isNotNull()).select(*once))
+    k1, k2 = row_key(once)
+    single = rows.select(k1.alias("k1"), k2.alias("k2"), F.col(entity).alias("entity"), day_number(F.col("utc_ms")).alias("day"), F.col(value).cast("double").alias("v")).distinct()
+    return single.groupBy(F.col("entity").alias(entity), "day").agg(F.count("v").alias("n"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("s"))
