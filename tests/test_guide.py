@@ -99,3 +99,13 @@ def test_context_dates_and_record_time(spark, tmp_path):
     births = DataFrameSource(spark.createDataFrame([("1", "1980-02-29"), ("2", "2000-12-31")], kind.struct))
     assert run(tmp_path, "ages", src.bind_with_context(from_(births), ("2015-01-01",)), Ages()) == ["1|AGE|34|1980-02-29", "2|AGE|14|2000-12-31"]
     assert os.path.exists(tmp_path / "ages/year=1980/month=02/day=29/_SUCCESS")
+
+
+def test_the_readmes_example_runs(spark):
+    import re
+
+    readme = open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "README.md")).read()
+    (code,) = re.findall(r"```python\n(.*?)```", readme, re.S)
+    names = {"ratings": spark.createDataFrame([("m", i % 5 + 1) for i in range(20)] + [("few", 3), (None, 1)], RATING.struct)}
+    exec(code, names)  # noqa: S102
+    assert [tuple(r) for r in names["rows"].collect()] == [("m", "MEAN", "3.0", "2015-01-01")]
