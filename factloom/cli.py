@@ -1,7 +1,9 @@
-"""Command line: export the metadata of the feature sets in a package, or write a module of stubs.
+"""Command line: export the metadata of the feature sets in a package, or write a module of stubs
+or of jobs.
 
     python -m factloom.cli metadata [--json | --psv] [--version 0|1] PACKAGE
     python -m factloom.cli bootstrap SOURCE_TYPE FILE [--separator CHAR]
+    python -m factloom.cli jobs PACKAGE DATABASE PATH
 """
 
 from __future__ import annotations
@@ -93,6 +95,19 @@ def bootstrap(lines: Iterable[str], record: str, separator: str = "|") -> str:
     return head + "".join(f"{d}\n" for d in reversed(declared)) + "    ]\n"
 
 
+def jobs(sets: Iterable[MetadataSet], database: str, path: str) -> str:
+    """A Python module with a job for every feature set: its sources in order, text by day."""
+    made = [s for s in sets if isinstance(s, (FeatureSet, AggregationFeatureSet))]
+    out = ["from factloom import FeatureContext, join_multi", "from factloom.job import FeatureJobConfig, SimpleFeatureJob", "from factloom.sinks import DerivedSinkPartition, TextSink"]
+    out += sorted({f"from {type(s).__module__} import {s.name}" for s in made})
+    for s in made:
+        table = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", s.name).lower()
+        out += ["", "", f"def {table}(*data, context: FeatureContext) -> int:", f'    """Facts of {s.source.type_info}, into the table {database}.{table}; the exit status."""']
+        out += [f"    sink = TextSink({database!r}, {path.rstrip('/') + '/' + table!r}, {table!r}, DerivedSinkPartition.eavt_by_day())"]
+        out += [f"    return SimpleFeatureJob.generate(FeatureJobConfig({s.name}.source.bind(join_multi(*data)), sink, context), {s.name}())"]
+    return "\n".join([*out, ""])
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="factloom")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -106,7 +121,13 @@ def main(argv: list[str] | None = None) -> int:
     b.add_argument("source_type")
     b.add_argument("file")
     b.add_argument("--separator", default="|")
+    j = commands.add_parser("jobs")
+    for name in ("package", "database", "path"):
+        j.add_argument(name)
     args = parser.parse_args(argv)
+    if args.command == "jobs":
+        print(jobs(find_sets(args.package), args.database, args.path))
+        return 0
     if args.command == "bootstrap":
         with open(args.file) as f:
             print(bootstrap(f.read().splitlines(), args.source_type, args.separator))

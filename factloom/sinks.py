@@ -267,7 +267,7 @@ def ensure_text_table(spark: SparkSession, database: str, table: str, path: str,
     spark.sql(f"CREATE TABLE IF NOT EXISTS {lines} (value STRING, {', '.join(f'`{p}` STRING' for p in partition)}) USING text PARTITIONED BY ({keys}) LOCATION '{path}'")
     spark.sql(f"MSCK REPAIR TABLE {lines}")
     spark.catalog.refreshTable(f"{database}.{table}_lines")
-    at = "\\\\Q" + delimiter + "\\\\E"
+    at = "\\\\Q" + delimiter.replace("'", "\\'") + "\\\\E"
     fields = ", ".join(f"nullif(get(f, {i}), '\\\\N') AS `{c}`" for i, c in enumerate(columns))
     spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {fields}, {keys} FROM (SELECT split(value, '{at}', -1) AS f, {keys} FROM {lines})")
 

@@ -203,6 +203,36 @@ def test_bootstrap_and_finder(spark, tmp_path, monkeypatch, capsys):
             cli.bootstrap([bad], "X")
 
 
+def test_generated_jobs_run(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "own_sets.py").write_text(
+        "from factloom import FeatureSet, FeatureType as FT, From, Schema\n\n\n"
+        "class MovieRatings(FeatureSet):\n    namespace, source = 'ns', From(Schema('Rating', 'movie_id string, rating int'))\n\n"
+        "    def entity(self, r):\n        return r.movie_id\n\n"
+        "    @property\n    def features(self):\n        return [self.builder.select(lambda r: r.rating).as_feature(FT.ORDINAL, 'R', 'Rating')]\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert cli.main(["jobs", "own_sets", "features", str(tmp_path / "out")]) == 0
+    made = {}
+    exec(capsys.readouterr().out, made)  # noqa: S102
+    data = DataFrameSource(spark.createDataFrame([("1", 3), ("2", 5)], RATING.struct))
+    assert made["movie_ratings"](data, context=CTX) == 0 and made["movie_ratings"](data, context=CTX) == -3
+    assert lines(tmp_path / "out/movie_ratings") == ["1|R|3|2015-01-01", "2|R|5|2015-01-01"]
+    assert sorted((r.entity, r.value) for r in spark.table("features.movie_ratings").collect()) == [("1", "3"), ("2", "5")]
+
+
+def test_table_over_text_keeps_empty_strings_and_failures_leave_nothing(spark, tmp_path):
+    facts = spark.createDataFrame([("a", "x", ""), ("b", "x", None), ("c", "x", " q\\E ")], "entity string, attribute string, value string")
+    sink = sinks.TextSink("features", str(tmp_path / "t"), "kept", sinks.FixedSinkPartition.by_day("2015-01-01"), delimiter="$", encoder=lambda df: df)
+    sink.write(facts, Rows())
+    assert sorted(((r.entity, r.value) for r in spark.table("features.kept").collect()), key=repr) == [("a", ""), ("b", None), ("c", " q\\E ")]
+    broken = facts.selectExpr("entity", "attribute", "IF(entity = 'c', raise_error('no'), value) AS value")
+    parquet = sinks.ParquetSink("features", "broken", str(tmp_path / "p"), sinks.FixedSinkPartition.by_day("2015-01-01"), encoder=lambda df: df)
+    for s in (parquet, sinks.TextSink("features", str(tmp_path / "p"), "broken_text", sinks.FixedSinkPartition.by_day("2015-01-01"), encoder=lambda df: df)):
+        with pytest.raises(PySparkException):
+            s.write(broken, Rows())
+        assert not os.path.exists(tmp_path / "p") or [f for _, _, fs in os.walk(tmp_path / "p") for f in fs] == []
+
+
 def test_stream_of_records(spark, tmp_path):
     from factloom import streaming
 
