@@ -170,11 +170,12 @@ def _judged(counted: str, totals: str, rare: float) -> str:
         of_all AS (SELECT sum(e1) / (sum(n1) + sum(e1)) AS r0, sum(c1) / sum(n1) AS s0 FROM of_class),
         rates1 AS (SELECT *, {own.format('e1')} / (n1 + e1 + 1e0 / r0) AS r1, (c1 + 1e0) / (n1 + 1e0 / s0) AS s1 FROM (SELECT *, (SELECT r0 FROM of_all) AS r0, (SELECT s0 FROM of_all) AS s0 FROM of_class) o),
         rates2 AS (SELECT *, (greatest(e2 - 1, 0) + 1e1) / (n2 + e2 + 1e1 / r1) AS r2, (c2 + 1e0) / (n2 + 1e0 / s1) AS s2 FROM of_classes JOIN rates1 USING (g3)),
-        of_last AS (SELECT c, sum(n) AS n3, sum(s) AS c3, sum(e) AS e3 FROM {totals} GROUP BY c HAVING sum(e) > 0),
+        of_last AS (SELECT c, sum(n) AS n3, sum(s) AS c3, sum(e) AS e3 FROM {totals} GROUP BY c),
+        stopped AS (SELECT c AS with_stop, (e3 + 1e0) / (n3 + e3 + 1e0 / (SELECT r1 FROM rates1 WHERE g3 = '.')) AS r_stop FROM of_last WHERE c LIKE '%.'),
         verdicts AS (
-            SELECT k1, k2, c, CASE WHEN g3 IN ('w', 'A', '#') THEN r2 ELSE {own.format('e')} / (n + e + (n3 + e3 + 1e0 / r1) / {own.format('e3')}) END < {rare} * r0 AS cut,
-            n3 = 0 OR (s + 1e0) / (n + (n3 + 1e0 / s2) / (c3 + 1e0)) < {rare} * s0 AS cut_dotted
-            FROM (SELECT * FROM {totals} WHERE e > 0) x JOIN of_last USING (c) JOIN rates2 USING (g1, g2, g3))
+            SELECT k1, k2, x.c, CASE WHEN g3 IN ('w', 'A', '#') THEN r2 ELSE {own.format('e')} / (n + e + (n3 + e3 + 1e0 / r1) / {own.format('e3')}) END < {rare} * r0 AS cut,
+            n3 = 0 OR (s + 1e0) / (n + (n3 + 1e0 / s2) / (c3 + 1e0)) < {rare} * s0 OR coalesce(r_stop < {rare} * r0, false) AS cut_dotted
+            FROM (SELECT *, c || '.' AS with_stop FROM {totals} WHERE e > 0) x JOIN of_last ON x.c = of_last.c JOIN rates2 USING (g1, g2, g3) LEFT JOIN stopped USING (with_stop))
         SELECT doc_id, source, t.n, CASE WHEN dotted THEN cut_dotted ELSE cut END AS cut
         FROM (SELECT * FROM {counted} WHERE is_end) t JOIN verdicts USING (k1, k2, c)"""
 
@@ -184,8 +185,8 @@ def judged(documents: DataFrame, rare: float = 0.6) -> DataFrame:
 
     "Almost never terminal" is: at ends less often, by the factor ``rare``, than a trigram is on
     average. Where dots stand at the end, a sentence may close there: then the trigram counts as
-    almost never terminal if a closing mark follows it that seldom, or if its last word occurs
-    nowhere inside a text.
+    almost never terminal if a closing mark follows it that seldom, if its last word with a full
+    stop ends texts that seldom, or if that word occurs nowhere inside a text.
 
     Defined results: null and empty texts have no row; end marks and page footers are no part of
     a text, and one that holds nothing else is not cut; equal texts count once among the ends,

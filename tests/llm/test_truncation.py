@@ -110,6 +110,13 @@ def test_marks_without_limit(spark, documents):
     assert {r.doc_id for r in truncation.truncated(both).collect() if r.doc_id < 1000} == {1, 3, 5}
 
 
+def test_dots_behind_an_abbreviation(spark, documents):
+    """A full stop always follows a title, but it never ends a text there."""
+    rows = [(1, "The river pilots told the chamber, whatever Mr...", "s", "en"), (2, "The river pilots told them that the flood relief would close...", "s", "en")]
+    both = spark.createDataFrame(rows, SCHEMA).unionByName(documents.filter("doc_id >= 1000"))
+    assert {r.doc_id for r in truncation.truncated(both).collect() if r.doc_id < 1000} == {1}
+
+
 def test_twin_agrees_on_every_case(documents):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
