@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.instants import YEAR_2024, blank_trim, context_free, with_instant
-from factloom.shared import bounded_rows, entries, fresh_path
+from factloom.shared import MARKED, bounded_rows, entries, fresh_path
 
 SCHEMA = "raw string, tz string, date_order string, utc_ms bigint"
 KEY = ["raw", "tz", "date_order"]
@@ -77,7 +77,7 @@ class InstantDictionary:
         if entries(self.spark, self.path):
             new = new.join(self.read(), KEY, "left_anti")
         parsed = with_instant(new, "raw", "tz", "date_order", zone_offsets=self.zone_offsets, window=self.window)
-        parsed.write.parquet(f"{self.path}/batch={uuid.uuid4().hex}")
+        parsed.write.option(*MARKED).parquet(f"{self.path}/batch={uuid.uuid4().hex}")
 
     def join(self, keyed: DataFrame, *columns: str) -> DataFrame:
         """``columns`` of the keyed rows with ``utc_ms``; rows without an instant are left out.

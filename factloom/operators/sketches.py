@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.shared import entries, fresh_path, written
+from factloom.shared import MARKED, entries, fresh_path, written
 
 LEVEL_BITS = 4_096
 LEVELS_PER_SEGMENT = 8
@@ -82,11 +82,12 @@ class DistinctCounts:
         self.spark, self.path = spark, path or fresh_path(spark, "distinct")
 
     def add(self, df: DataFrame, day: str, group: str, identifiers: Sequence[str], batch: str = "0") -> DistinctCounts:
-        partials(df, [day, group], identifiers).write.parquet(f"{self.path}/batch={batch}")
+        partials(df, [day, group], identifiers).write.option(*MARKED).parquet(f"{self.path}/batch={batch}")
         return self
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/batch=*")
+        """The partial results of all batches whose writing was finished; at least one."""
+        return self.spark.read.parquet(*entries(self.spark, self.path))
 
     def report(self, day: str, group: str) -> DataFrame:
         """``grain, day, group, field, estimate, low, high`` by day, group, and day with group,

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+# Option of a write that ``entries`` is to find, whatever the cluster's default is.
+MARKED = ("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:
