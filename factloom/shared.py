@@ -15,14 +15,14 @@ MARKED = ("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in ``spark.checkpoint.dir``.
 
-    Where it names none, a session on one machine (``local[...]``, as in tests) gets a temporary
+    Where it names none, a session on one machine (``local...``, as in tests) gets a temporary
     folder and has it set as its checkpoint directory; on a cluster, whose executors could not
     read such a folder, this raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
